@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,3 +23,9 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 def number_or_null(column: Column) -> Column:
     """NaN as null, so that aggregates skip it."""
     return F.when(~F.isnan(column), column)
+
+
+def double_text(value: float) -> str:
+    """SQL text of a double; long generated expressions are quicker to build as text."""
+    value = float(value)
+    return f"{value!r}D" if math.isfinite(value) else f"CAST('{value}' AS DOUBLE)"

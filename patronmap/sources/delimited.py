@@ -47,10 +47,18 @@ def separator_profile(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def best_separator(spark: SparkSession, path: str) -> DataFrame:
+    """The separator on whose field count most lines agree; more fields win a tie."""
+    return (
+        separator_profile(spark, path)
+        .where(F.col("fields") > 1)
+        .orderBy(F.desc("agreeing"), F.desc("fields"), "preference")
+        .limit(1)
+    )
+
+
 def detect_separator(spark: SparkSession, path: str) -> str:
-    """The separator on whose field count most lines agree; the one with more fields on a tie."""
-    candidates = separator_profile(spark, path).where(F.col("fields") > 1)
-    best = candidates.orderBy(F.desc("agreeing"), F.desc("fields"), "preference").first()
+    best = best_separator(spark, path).first()
     if best is None:
         raise ValueError(f"no separator found in {path}")
     return best["separator"]
