@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronmap.operators.segments import broadcast_if_small
 from patronmap.storage import store
 
 
@@ -27,20 +26,26 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         onward = used.join(labels, "node").select(
             F.col("node").alias("label"), F.col("label").alias("far")
         )
-        state = store(labels.join(broadcast_if_small(onward), "label"), "labels")
+        state = labels.select("node", "label").join(onward, "label")
         offered = (
             both.join(state, both.dst == state.node)
             .groupBy("src")
             .agg(F.min("far").alias("offer"))
             .withColumnRenamed("src", "node")
         )
-        merged = state.join(offered, "node", "left").withColumn(
-            "best", F.least("label", "far", "offer")
+        best = F.least("label", "far", "offer").alias("best")
+        # The best label goes to the node, and to the node that gave it its old label.
+        to_both = F.array(
+            F.struct("node", "best", F.col("label").alias("old")),
+            F.struct(F.col("label").alias("node"), "best", F.lit(None).alias("old")),
         )
-        proposals = merged.select("node", F.col("best").alias("label")).unionAll(
-            merged.select(F.col("label").alias("node"), F.col("best").alias("label"))
+        labels = store(
+            state.join(offered, "node", "left")
+            .select("node", "label", best)
+            .select(F.inline(to_both))
+            .groupBy("node")
+            .agg(F.min("best").alias("label"), F.max("old").alias("old")),
+            "labels",
         )
-        labels = store(proposals.groupBy("node").agg(F.min("label").alias("label")), "labels")
-        before = state.select("node", F.col("label").alias("old"))
-        if labels.join(before, "node").where(F.col("label") != F.col("old")).isEmpty():
-            return labels
+        if labels.where(F.col("label") != F.col("old")).isEmpty():
+            return labels.drop("old")

@@ -382,8 +382,9 @@ def _one_value(spark: SparkSession, metric: str, value: float) -> DataFrame:
 
 def silhouette_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact, over all customers: their scores take at most 125 different values."""
-    scores = clustering.assign_nearest(_scores(spark, sf_dir), SCORES, SCORE_CENTRES)
-    return _one_value(spark, EUCLIDEAN, silhouette(scores, SCORES))
+    scores = store(_scores(spark, sf_dir), "scores")
+    assigned = clustering.assign_nearest(scores, SCORES, SCORE_CENTRES)
+    return _one_value(spark, EUCLIDEAN, silhouette(assigned, SCORES))
 
 
 def silhouette_squared(spark: SparkSession, sf_dir: str) -> DataFrame:

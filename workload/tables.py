@@ -54,7 +54,7 @@ def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 11 == 1, None)
         .when(key % 11 == 2, "")
         .when(key % 11 == 3, " \t ")
-        .when(key % 11 == 4, " ")
+        .when(key % 11 == 4, "\u00a0")
         .when(key % 11 == 5, F.concat(F.lit(" "), customer))
         .otherwise(customer)
         .alias(CUSTOMER),
