@@ -20,13 +20,21 @@ def dedup_segments(segments: DataFrame) -> DataFrame:
 
     Of several rows the first by (Segment_label, cluster) is kept, nulls first: a
     minimum, so a customer with very many rows is reduced before the shuffle.
+
+    The customer is grouped inside a struct. A join on it then exchanges this side anew,
+    and adaptive execution can split the partition of a customer that holds a large
+    share of the other side, which it does only where both sides are exchanged by the
+    join itself.
     """
     present = [c for c in (LABEL, CLUSTER) if c in segments.columns]
-    if not present:
-        return segments.select(CUSTOMER).distinct()
-    first = segments.groupBy(CUSTOMER).agg(F.min(F.struct(*present)).alias("_first"))
+    who = F.struct(CUSTOMER).alias("_who")
+    first = F.min(F.struct(*present, F.lit(None))).alias("_first")
     ordered = [c for c in SEGMENT_COLUMNS if c in present]
-    return first.select(CUSTOMER, *(F.col(f"_first.{c}").alias(c) for c in ordered))
+    return (
+        segments.groupBy(who)
+        .agg(first)
+        .select(f"_who.{CUSTOMER}", *(F.col(f"_first.{c}").alias(c) for c in ordered))
+    )
 
 
 def placeholder_segments(df: DataFrame) -> DataFrame:
@@ -34,15 +42,10 @@ def placeholder_segments(df: DataFrame) -> DataFrame:
 
 
 def attach_segments(df: DataFrame, segments: DataFrame | None) -> DataFrame:
-    """Segment columns for every row of `df`; customers without a segment keep nulls.
-
-    The segment side is exchanged on its own, so that both sides of a sort-merge join
-    come straight from a shuffle: only then can adaptive execution split the partition
-    of a customer that holds a large share of the rows.
-    """
+    """Segment columns for every row of `df`; customers without a segment keep nulls."""
     if segments is None:
         return placeholder_segments(df)
-    return df.join(dedup_segments(segments).repartition(CUSTOMER), CUSTOMER, "left")
+    return df.join(dedup_segments(segments), CUSTOMER, "left")
 
 
 def distinct_segments(df: DataFrame, segment: str = LABEL) -> DataFrame:

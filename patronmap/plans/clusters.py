@@ -6,8 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from patronmap.operators.clustering import SEED, cluster_points, fit_kmeans, fit_tree
-from patronmap.operators.clustering import nearest_centroid
+from patronmap.operators.clustering import SEED, assign_tree, cluster_points, fit_kmeans
+from patronmap.operators.clustering import nearest_centroid, takes_few_values
 from patronmap.operators.density import dbscan
 from patronmap.operators.features import scaled_columns
 from patronmap.schema import CLUSTER, CUSTOMER, RFM_METRICS
@@ -40,11 +40,12 @@ def segment(
         if eps is None or min_samples is None:
             raise ValueError("DBSCAN needs eps and min_samples")
         return dbscan(table, names, eps, min_samples, CUSTOMER).drop(*names)
-    fits = {KMEANS: fit_kmeans, HIERARCHICAL: fit_tree, HIERARCHICAL_LONG: fit_tree}
-    if algorithm not in fits:
+    if algorithm not in (KMEANS, HIERARCHICAL, HIERARCHICAL_LONG):
         raise ValueError(f"unknown algorithm {algorithm!r}")
     if k is None:
         raise ValueError(f"{algorithm} needs k")
-    points = cluster_points(table, names)
-    fitted = fits[algorithm](points, names, k, seed)
+    if algorithm != KMEANS:
+        return assign_tree(table, names, k, seed).drop(*names)
+    points = cluster_points(table, names, takes_few_values(features))
+    fitted = fit_kmeans(points, names, k, seed)
     return table.withColumn(CLUSTER, nearest_centroid(names, fitted.points)).drop(*names)
