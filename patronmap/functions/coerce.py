@@ -39,6 +39,13 @@ def as_number(column: Column, dtype: T.DataType) -> Column:
     return F.when(~text.rlike(JAVA_ONLY_NUMBER), text.try_cast("double"))
 
 
+def is_known(column: Column, dtype: T.DataType) -> Column:
+    """Neither null nor NaN; as plain null checks, which a scan can use (`dropna` cannot)."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return column.isNotNull() & ~F.isnan(column)
+    return column.isNotNull()
+
+
 def is_not_blank(column: Column, dtype: T.DataType) -> Column:
     """True unless the value is text made of white space only; the value is not trimmed."""
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):

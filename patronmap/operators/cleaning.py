@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronmap.functions.coerce import as_number, as_timestamp, is_not_blank
+from patronmap.functions.coerce import as_number, as_timestamp, is_known, is_not_blank
 from patronmap.schema import AMOUNT, CUSTOMER, DATE
 
 
@@ -26,7 +27,13 @@ def clean_light(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
 
     Negative amounts and blank customers stay: trends and reports see returns too.
     """
-    return coerce(df, formats).dropna(subset=[CUSTOMER, DATE, AMOUNT])
+    return drop_missing(coerce(df, formats), CUSTOMER, DATE, AMOUNT)
+
+
+def drop_missing(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which none of `columns` is null or NaN."""
+    known = (is_known(F.col(c), df.schema[c].dataType) for c in columns)
+    return df.where(reduce(lambda a, b: a & b, known))
 
 
 def clean(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:

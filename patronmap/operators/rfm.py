@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patronmap.operators.cleaning import drop_missing
 from patronmap.operators.ranking import quantile_cuts, rank_metrics, widen_ranks
 from patronmap.schema import AMOUNT, CUSTOMER, DATE, FREQUENCY, LABEL, MONETARY, RECENCY
 from patronmap.schema import RFM_METRICS
@@ -27,7 +28,7 @@ def compute_rfm(df: DataFrame, snapshot: str) -> DataFrame:
     day = F.lit(MICROS_PER_DAY)
     whole_days = F.call_function("div", elapsed - F.pmod(elapsed, day), day)
     return (
-        df.dropna(subset=[CUSTOMER])
+        drop_missing(df, CUSTOMER)
         .groupBy(CUSTOMER)
         .agg(
             last.alias("_last"),

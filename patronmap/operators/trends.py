@@ -1,7 +1,7 @@
 """KPIs, calendar trends and comparisons of segments.
 
 Every operator takes transactions (`amount`) or an activity table (`revenue`,
-`transactions` per customer and day). Rows are first reduced to one per customer and
+`transactions` per customer and period). Rows are first reduced to one per customer and
 group, so distinct customers are plain counts and no customer makes a hot partition.
 """
 
@@ -27,9 +27,16 @@ def transactions_of(df: DataFrame) -> Column:
     return F.sum(TRANSACTIONS) if _is_activity(df) else F.count(AMOUNT)
 
 
-def daily_activity(df: DataFrame) -> DataFrame:
-    """Revenue and transactions per customer and day: the shared base of trend reports."""
-    return df.groupBy(CUSTOMER, F.to_date(DATE).cast("timestamp").alias(DATE)).agg(
+def activity(df: DataFrame, rule: str | None = "D") -> DataFrame:
+    """Revenue and transactions per customer and day, week or month, or in all.
+
+    Small compared with the transactions, and the better side to join segments to. The
+    date is the first day of the period; daily activity serves every other period.
+    """
+    keys = [CUSTOMER]
+    if rule is not None:
+        keys.append(PERIODS[rule].anchor(F.col(DATE)).cast("timestamp").alias(DATE))
+    return df.groupBy(*keys).agg(
         revenue_of(df).alias(REVENUE), transactions_of(df).alias(TRANSACTIONS)
     )
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
+from patronmap.operators.cleaning import drop_missing
 from patronmap.operators.clustering import SEED, assign_tree, cluster_points, fit_kmeans
 from patronmap.operators.clustering import nearest_centroid, takes_few_values
 from patronmap.operators.density import dbscan
@@ -32,7 +33,7 @@ def segment(
     K-Means and the divisive tree need `k` and number clusters by the order of their
     centres; DBSCAN needs `eps` and `min_samples`, in units of the scaled features.
     """
-    complete = customers.dropna(subset=list(features))
+    complete = drop_missing(customers, *features)
     scaled = {f"_{f}": c for f, c in scaled_columns(complete, features, scaler, weights).items()}
     table = store(complete.withColumns(scaled), "scaled")
     names = list(scaled)

@@ -39,7 +39,7 @@ def monitor(
 ) -> Monitoring:
     """Reduce to one row per customer and day, join segments to that, derive every table."""
     chosen = date_range(clean_light(transactions), start, end, end_of_day)
-    activity = store(attach_segments(t.daily_activity(chosen), segments), "activity")
+    activity = store(attach_segments(t.activity(chosen), segments), "activity")
     totals = t.segment_totals(activity, segment)
     matrix = store(g.month_segment_matrix(activity, segment), "matrix")
     changes = g.segment_growth(matrix, fill)

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import as_dict
+from patronmap.operators import ranking
 from patronmap.operators.ranking import quantile_cuts, rank_metrics
 from patronmap.operators.rfm import (
     add_weighted_scores, compute_rfm, label_segments, rfm_ranks, score_rfm,
@@ -128,17 +129,42 @@ def test_hot_value_is_spread_over_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_cuts_follow_the_rank_formula(spark):
-    rfm = skewed(spark)
-    ranked = rank_metrics(rfm, ["monetary"], "customer_id")
-    n = ranked.sizes["monetary"]
-    (cuts,) = quantile_cuts(rfm, ["monetary"], "customer_id")
-    bins = rfm.select(
-        "customer_id", cuts.bin("customer_id", rfm.schema["customer_id"].dataType).alias("bin")
+@pytest.mark.parametrize("narrow_above, margin", [(10**9, None), (0, None), (0, -0.05)])
+def test_cuts_follow_the_rank_formula(spark, monkeypatch, narrow_above, margin):
+    """Also where the table is narrowed first, and where the probes miss the ends."""
+    monkeypatch.setattr(ranking, "NARROW_ABOVE", narrow_above)
+    if margin is not None:
+        monkeypatch.setattr(ranking, "PROBE_MARGIN", margin)
+    rfm = skewed(spark).cache()
+    metrics = ["recency", "frequency", "monetary"]
+    ranked = rank_metrics(rfm, metrics, "customer_id")
+    key_type = rfm.schema["customer_id"].dataType
+    for cuts in quantile_cuts(rfm, metrics, "customer_id"):
+        n = ranked.sizes[cuts.metric]
+        bins = rfm.select("customer_id", cuts.bin("customer_id", key_type).alias("bin"))
+        ranks = ranked.frame.where(F.col("metric") == cuts.metric)
+        formula = F.greatest(F.lit(1), F.ceil((F.col("rank") - 1) * 5 / (n - 1)))
+        assert n == 20_000 and len(cuts.ends) == 4
+        assert bins.join(ranks, "customer_id").where(F.col("bin") != formula).count() == 0
+    rfm.unpersist()
+
+
+def test_narrowing_sorts_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "NARROW_ABOVE", 0)
+    sorted_rows = []
+    whole = ranking.checkpoint
+
+    def watched(df):
+        done = whole(df)
+        sorted_rows.append(done.count())
+        return done
+
+    monkeypatch.setattr(ranking, "checkpoint", watched)
+    distinct = spark.range(50_000).select(
+        F.col("id").alias("customer_id"), F.xxhash64("id").cast("double").alias("monetary")
     )
-    formula = F.greatest(F.lit(1), F.ceil((F.col("rank") - 1) * 5 / (n - 1)))
-    wrong = bins.join(ranked.frame, "customer_id").where(F.col("bin") != formula)
-    assert n == 20_000 and wrong.count() == 0
+    quantile_cuts(distinct, ["monetary"], "customer_id")
+    assert sorted_rows[0] < 50_000 / 100
 
 
 def test_missing_metrics_have_no_score(spark):

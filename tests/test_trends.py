@@ -27,9 +27,9 @@ def sales(tx):
     return tx(ROWS, SCHEMA)
 
 
-@pytest.mark.parametrize("activity", [False, True])
-def test_days_weeks_and_months(sales, activity):
-    base = t.daily_activity(sales) if activity else sales
+@pytest.mark.parametrize("daily", [False, True])
+def test_days_weeks_and_months(sales, daily):
+    base = t.activity(sales) if daily else sales
     days = as_dict(t.trend(base, "D"), "transaction_date")
     assert len(days) == 64
     assert tuple(days[dt.datetime(2023, 1, 3)])[1:] == (0.0, 0, 0, None)
@@ -46,6 +46,13 @@ def test_days_weeks_and_months(sales, activity):
     assert tuple(january)[1:] == (6.0, 3, 3, 2.0)
 
 
+def test_activity_of_longer_periods(sales):
+    assert t.activity(sales, None).columns == ["customer_id", "revenue", "transactions"]
+    for rule in "WM":
+        direct = sorted(map(tuple, t.trend(sales, rule).collect()))
+        assert sorted(map(tuple, t.trend(t.activity(sales, rule), rule).collect())) == direct
+
+
 def test_trend_of_nothing(sales):
     assert t.trend(sales.limit(0), "D").count() == 0
 

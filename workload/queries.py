@@ -215,22 +215,22 @@ def trend_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.trend(_orders(spark, sf_dir), "M")
 
 
-def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders per customer and day, reduced before segments are joined."""
-    daily = trends.daily_activity(_orders(spark, sf_dir))
-    return segments.attach_segments(daily, t.segments(spark, sf_dir))
+def _activity(spark: SparkSession, sf_dir: str, rule: str | None) -> DataFrame:
+    """Orders per customer and period, reduced before segments are joined."""
+    reduced = trends.activity(_orders(spark, sf_dir), rule)
+    return segments.attach_segments(reduced, t.segments(spark, sf_dir))
 
 
 def segment_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.segment_trend(_activity(spark, sf_dir), "W")
+    return trends.segment_trend(_activity(spark, sf_dir, "W"), "W")
 
 
 def segment_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.segment_share(trends.segment_totals(_activity(spark, sf_dir)))
+    return trends.segment_share(trends.segment_totals(_activity(spark, sf_dir, None)))
 
 
 def segment_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = trends.segment_totals(_activity(spark, sf_dir), CLUSTER)
+    totals = trends.segment_totals(_activity(spark, sf_dir, None), CLUSTER)
     return trends.segment_comparison(totals, CLUSTER)
 
 
@@ -252,7 +252,7 @@ def report_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return growth.month_segment_matrix(_activity(spark, sf_dir))
+    return growth.month_segment_matrix(_activity(spark, sf_dir, "M"))
 
 
 def month_segment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +261,7 @@ def month_segment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def month_segment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    return growth.month_label(growth.month_segment_wide(_activity(spark, sf_dir), names))
+    return growth.month_label(growth.month_segment_wide(_activity(spark, sf_dir, "M"), names))
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -276,7 +276,7 @@ def segment_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_growth_nofill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth per customer nation: at small scale some nations have months without orders."""
-    matrix = growth.month_segment_matrix(_activity(spark, sf_dir), CLUSTER)
+    matrix = growth.month_segment_matrix(_activity(spark, sf_dir, "M"), CLUSTER)
     return _rounded(growth.month_label(growth.segment_growth(matrix, "none")), "change")
 
 
