@@ -8,11 +8,11 @@ from workload.tables import SNAPSHOT
 
 TX = """tx AS (
   SELECT o_custkey AS customer_id, o_orderdate AS transaction_date,
-         CAST(o_totalprice AS DECIMAL(18,2)) AS amount
+         CAST(round(o_totalprice * 100) AS BIGINT) AS amount
   FROM orders)"""
 
 EVENTS = """tx AS (
-  SELECT user_id AS customer_id, ts AS transaction_date, CAST(value AS DECIMAL(18,2)) AS amount
+  SELECT user_id AS customer_id, ts AS transaction_date, CAST(round(value * 100) AS BIGINT) AS amount
   FROM events)"""
 
 SEGMENTS = """seg AS (
@@ -257,12 +257,12 @@ FROM (VALUES ('comma'), ('semicolon'), ('tab'), ('pipe')) AS v(written)""",
     "map_columns": """SELECT o_custkey AS customer_id, o_orderdate AS transaction_date,
   o_totalprice AS amount FROM orders""",
     "amount_qty_price": """SELECT o_custkey AS customer_id, o_orderdate AS transaction_date,
-  CAST(CAST(l_quantity * l_extendedprice AS DECIMAL(18,2)) AS DOUBLE) AS amount
+  CAST(round(l_quantity * l_extendedprice * 100) AS BIGINT) AS amount
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "parquet_scan": "SELECT * FROM customer",
     "csv_export": """SELECT CAST(o_custkey AS VARCHAR) AS customer_id,
   strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS transaction_date,
-  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount FROM orders""",
+  CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS amount FROM orders""",
     "export_manifest": """SELECT 'transactions' AS "table", count(*) AS "rows" FROM orders
 UNION ALL SELECT 'rfm', count(DISTINCT o_custkey) FROM orders WHERE o_totalprice > 0""",
     "dataset_profile": """SELECT 'orders' AS id, 'orders.parquet' AS original_name,
@@ -277,13 +277,13 @@ WHERE transaction_date IS NOT NULL AND amount > 0
 SELECT o_orderkey, customer_id, transaction_date, amount FROM messy
 WHERE customer_id IS NOT NULL AND transaction_date IS NOT NULL AND amount IS NOT NULL""",
     "date_range": f"""WITH {EVENTS} SELECT customer_id, transaction_date,
-  CAST(amount AS DOUBLE) AS amount FROM tx WHERE {IN_RANGE}""",
+  amount FROM tx WHERE {IN_RANGE}""",
     "date_range_full_day": f"""WITH {EVENTS} SELECT customer_id, transaction_date,
-  CAST(amount AS DOUBLE) AS amount FROM tx WHERE {IN_FULL_RANGE}""",
+  amount FROM tx WHERE {IN_FULL_RANGE}""",
     "segments_placeholder": f"""WITH {EVENTS} SELECT customer_id, transaction_date,
-  CAST(amount AS DOUBLE) AS amount, '—' AS "cluster", '—' AS "Segment_label" FROM tx""",
+  amount, '—' AS "cluster", '—' AS "Segment_label" FROM tx""",
     "attach_segments": f"""WITH {TX}, {SEGMENTS} SELECT customer_id, transaction_date,
-  CAST(amount AS DOUBLE) AS amount, "cluster", "Segment_label"
+  amount, "cluster", "Segment_label"
 FROM tx LEFT JOIN seg USING (customer_id)""",
     "dedup_segments": """SELECT o_custkey AS customer_id,
   CAST(substr(min(o_orderpriority), 1, 1) AS INTEGER) AS "cluster",

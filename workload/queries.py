@@ -77,7 +77,7 @@ def amount_qty_price(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Customer ID", "InvoiceDate", qty_col="Quantity", price_col="Price"
     )
     computed = mapping.map_columns(t.raw_lines(spark, sf_dir), names)
-    return computed.withColumn(AMOUNT, F.col(AMOUNT).cast(t.MONEY).cast("double"))
+    return computed.withColumn(AMOUNT, t.cents(F.col(AMOUNT)))
 
 
 def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,24 +135,20 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean_light(t.tx_events(spark, sf_dir))
 
 
-def _money_as_double(df: DataFrame) -> DataFrame:
-    return df.withColumn(AMOUNT, F.col(AMOUNT).cast("double"))
-
-
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _money_as_double(cleaning.date_range(_events(spark, sf_dir), *RANGE))
+    return cleaning.date_range(_events(spark, sf_dir), *RANGE)
 
 
 def date_range_full_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = cleaning.date_range(_events(spark, sf_dir), *RANGE, end_of_day=True)
-    return _money_as_double(chosen)
+    return chosen
 
 
 # Segments
 
 
 def segments_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _money_as_double(segments.attach_segments(_events(spark, sf_dir), None))
+    return segments.attach_segments(_events(spark, sf_dir), None)
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +157,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attach_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = t.segments(spark, sf_dir)
-    return _money_as_double(segments.attach_segments(_orders(spark, sf_dir), known))
+    return segments.attach_segments(_orders(spark, sf_dir), known)
 
 
 def dedup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

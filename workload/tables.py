@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronmap.schema import AMOUNT, CLUSTER, CUSTOMER, DATE, LABEL
 
 SNAPSHOT = "2001-08-02"
-MONEY = "decimal(18,2)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cents(money: Column) -> Column:
+    """Whole cents: their sums are exact, so no result depends on the order of rows."""
+    return F.rint(money * 100.0).cast("bigint")
+
+
 def tx_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as transactions; money is decimal, so sums do not depend on their order."""
+    """Orders as transactions, amounts in cents."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias(CUSTOMER),
         F.col("o_orderdate").alias(DATE),
-        F.col("o_totalprice").cast(MONEY).alias(AMOUNT),
+        cents(F.col("o_totalprice")).alias(AMOUNT),
     )
 
 
 def tx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as transactions, with a time of day and a few amounts that are not positive."""
+    """Events as transactions, with a time of day and a few amounts that are not positive; in cents."""
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias(CUSTOMER),
         F.col("ts").alias(DATE),
-        F.col("value").cast(MONEY).alias(AMOUNT),
+        cents(F.col("value")).alias(AMOUNT),
     )
 
 
