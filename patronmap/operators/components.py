@@ -21,11 +21,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     labels = nodes.select("node", F.col("node").alias("label"))
     while True:
-        # Few distinct labels remain after some rounds, while many nodes share one of them.
-        used = labels.select(F.col("label").alias("node")).distinct()
-        onward = used.join(labels, "node").select(
-            F.col("node").alias("label"), F.col("label").alias("far")
-        )
+        onward = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        # Many nodes come to share a label; adaptive execution splits such a partition.
         state = labels.select("node", "label").join(onward, "label")
         offered = (
             both.join(state, both.dst == state.node)
