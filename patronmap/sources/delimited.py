@@ -23,16 +23,19 @@ def separator_profile(spark: SparkSession, path: str) -> DataFrame:
     Reads every line. Lines are counted by (separator, fields) before anything is
     shuffled, so what moves is bounded by the distinct field counts.
     """
-    bare = F.regexp_replace("value", QUOTED_TEXT, "")
+    quoted = F.regexp_replace("value", QUOTED_TEXT, "")
+    bare = F.when(F.contains("value", F.lit('"')), quoted).otherwise(F.col("value"))
+    # Its own step, so that quoted text is removed once per line and not once per separator.
+    lines = spark.read.text(path).where(F.length("value") > 0).select(bare.alias("bare"))
+    kept = F.length("bare")
     found = [
         F.struct(
             F.lit(i).alias("preference"),
             F.lit(s).alias("separator"),
-            (F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) + 1).alias("fields"),
+            (kept - F.length(F.replace("bare", F.lit(s), F.lit(""))) + 1).alias("fields"),
         )
         for i, s in enumerate(SEPARATORS)
     ]
-    lines = spark.read.text(path).where(F.length("value") > 0)
     per_count = (
         lines.select(F.inline(F.array(*found)))
         .groupBy("preference", "separator", "fields")

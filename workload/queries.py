@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronmap.operators import cleaning, clustering, growth, report, rfm, segments, trends
-from patronmap.operators.density import dbscan
 from patronmap.operators.features import prepare_features
 from patronmap.operators.silhouette import EUCLIDEAN, SQUARED_EUCLIDEAN, silhouette
 from patronmap.plans import customers as plan
