@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronmap.llm import simhash
+from patronmap.llm import mixing, simhash
 from patronmap.llm.common import table
 
 
@@ -13,8 +13,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of sources takes."""
+    return mixing.mix(table(spark, sf_dir, "documents")).taken().drop("text_key")
+
+
 QUERIES = {
     "op4_simhash": op4_simhash,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE: dict[str, str] = {}
