@@ -90,6 +90,13 @@ def sample_by_hash(df: DataFrame, label: str, key: str, per_label: int) -> DataF
     )
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary file of this name lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def one_thread() -> None:
     """Keep a task of one core from starting threads of its own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

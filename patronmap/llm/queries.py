@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronmap.llm import mixing, simhash, topk, warc
-from patronmap.llm.common import table
+from patronmap.llm import mixing, packing, simhash, topk, warc
+from patronmap.llm.common import table, tokenizer_path
+
+PACKING_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of 2048."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix of sources takes."""
     return mixing.mix(table(spark, sf_dir, "documents")).taken().drop("text_key")
@@ -31,6 +38,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
 }
