@@ -44,6 +44,7 @@ CAPACITY = 2048
 END_ID = 0
 KNOWN_WORDS = 1_500_000  # words whose ids a worker keeps
 LINE_WORDS, LINES = 50, 100  # new words to a line, and lines, that are tokenized together
+BUCKET_ROWS = 5000  # pieces of one length that are ranked together, on average
 TEXT_BYTES = 1 << 21  # of texts that are tokenized together, or one longer text
 # A word and signs after it that the tokenizer cuts off: after ASCII letters and those of C3.
 TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:]+)", re.DOTALL)
