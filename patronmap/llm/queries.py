@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronmap.llm import mixing, packing, simhash, topk, warc
+from patronmap.llm import langid, mixing, packing, quality, simhash, topk, toxicity, warc
 from patronmap.llm.common import table, tokenizer_path
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -15,6 +15,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("valid")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -25,6 +30,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules and the model's verdict for every document."""
+    return quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix of sources takes."""
     return mixing.mix(table(spark, sf_dir, "documents")).taken().drop("text_key")
@@ -37,8 +52,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op3_langid": op3_langid,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
 }
