@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronmap.llm import langid, mixing, packing, quality, simhash, topk, toxicity, warc
+from patronmap.llm import langid, mixing, packing, quality, simhash, suffixtree, topk, toxicity, warc
 from patronmap.llm.common import table, tokenizer_path
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +35,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document by word counts and by the suffix tree."""
+    return suffixtree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -56,6 +61,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
+    "op7_lm": op7_lm,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
