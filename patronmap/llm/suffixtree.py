@@ -37,9 +37,9 @@ from patronmap.llm.common import Batches, inputs, is_fold, with_text_batches
 from patronmap.storage import store
 
 DEPTH = 5
-LEAST_SHARE = 2e-5
-LEAST_GAIN = 30.0
-PRIOR = 20.0  # weight of the shorter context's distribution, in occurrences
+LEAST_SHARE = 5e-6
+LEAST_GAIN = 20.0
+PRIOR = 10.0  # weight of the shorter context's distribution, in occurrences
 ROOT_PRIOR = 0.5
 HOT_WORDS = 200_000
 HOT_BYTES = 64
