@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronmap.llm import langid, mixing, packing, quality, simhash, suffixtree, topk, toxicity, warc
+from patronmap.llm import langid, mixing, packing, quality, secrets, simhash, suffixtree, topk, toxicity, warc
 from patronmap.llm.common import table, tokenizer_path
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -15,6 +15,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("valid")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document, and whether it is a secret."""
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -57,6 +62,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_secrets": op2_secrets,
     "op3_langid": op3_langid,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
