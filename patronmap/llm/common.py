@@ -45,6 +45,11 @@ def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def text_bytes(texts: pa.Array) -> list[bytes | None]:
+    """The UTF-8 bytes of a text column."""
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+
+
 def with_text_batches(
     df: DataFrame,
     text: str,
@@ -64,9 +69,7 @@ def with_text_batches(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = batch.column(text)
-            raw = raw.cast(pa.large_binary() if pa.types.is_large_string(raw.type) else pa.binary())
-            made = work(raw.to_pylist(), batch)
+            made = work(text_bytes(batch.column(text)), batch)
             arrays = [batch.column(c) for c in kept]
             arrays += [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *made])

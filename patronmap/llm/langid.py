@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronmap.llm import features
-from patronmap.llm.common import inputs, is_fold, sample_by_hash, with_text_batches
+from patronmap.llm.common import Batches, inputs, is_fold, sample_by_hash, text_bytes, with_text_batches
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -37,7 +37,7 @@ BITS = 12
 PER_LANGUAGE = 200
 MOST_ROWS = 4000
 SPANS = (60, 300)  # characters
-AMBIGUOUS = 0.2  # least difference of the two best scores
+AMBIGUOUS = 0.1  # least difference of the two best scores
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -122,30 +122,31 @@ def fit_on(rows: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = M
     return fit(features.dense([p for p, _ in pairs], 1 << BITS), [lang for _, lang in pairs])
 
 
+def decide(model: LanguageCode, texts: list[bytes | None], ambiguous: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of every text."""
+    names, best, unsure = [], [np.empty(0)], [np.empty(0, dtype=bool)]
+    for start in range(0, len(texts), features.ROWS):
+        part = [t.decode("utf-8", "replace") if t else "" for t in texts[start : start + features.ROWS]]
+        known = np.array([bool(model.languages) and bool(LETTER.search(t)) for t in part])
+        counts = np.zeros((len(part), 1 << BITS), np.float32)
+        for i in np.flatnonzero(known):
+            counts[i] = gram_counts(part[i])
+        shares = model.scores(counts) if model.languages else np.zeros((len(part), 1))
+        order = np.sort(shares, axis=1)[:, ::-1]
+        second = order[:, 1] if shares.shape[1] > 1 else np.zeros(len(part))
+        names += [model.languages[i] if k else UNKNOWN for i, k in zip(shares.argmax(axis=1), known)]
+        best.append(np.where(known, order[:, 0], 0.0))
+        unsure.append(~known | (order[:, 0] - second < ambiguous))
+    return names, np.concatenate(best).astype(np.float64), np.concatenate(unsure)
+
+
 def predict(rows: DataFrame, model: LanguageCode, ambiguous: float = AMBIGUOUS) -> DataFrame:
     """`rows` without text, with lang_pred, score and ambiguous."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(texts, _):
-        model = shared.value
-        names, best, apart = [], [], []
-        for start in range(0, len(texts), features.ROWS):
-            part = [t.decode("utf-8", "replace") if t else "" for t in texts[start : start + features.ROWS]]
-            known = np.array([bool(LETTER.search(t)) and bool(model.languages) for t in part])
-            counts = np.zeros((len(part), 1 << BITS), np.float32)
-            for i in np.flatnonzero(known):
-                counts[i] = gram_counts(part[i])
-            if not model.languages:
-                shares = np.zeros((len(part), 1))
-            else:
-                shares = model.scores(counts)
-            order = np.sort(shares, axis=1)[:, ::-1]
-            first = shares.argmax(axis=1)
-            names += [model.languages[i] if k else UNKNOWN for i, k in zip(first, known)]
-            best.append(np.where(known, order[:, 0], 0.0))
-            second = order[:, 1] if shares.shape[1] > 1 else np.zeros(len(part))
-            apart.append(~known | (order[:, 0] - second < ambiguous))
-        return {"lang_pred": pa.array(names, pa.string()), "score": np.concatenate(best).astype(np.float64), "ambiguous": np.concatenate(apart)}
+        names, scores, unsure = decide(shared.value, texts, ambiguous)
+        return {"lang_pred": pa.array(names, pa.string()), "score": scores, "ambiguous": unsure}
 
     return with_text_batches(rows, "text", "lang_pred string, score double, ambiguous boolean", work)
 
@@ -166,13 +167,24 @@ def identify(
     return predict(rows.drop("lang"), model)
 
 
-def accepted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+def accepted_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    folds: int = 5,
+    held_out: int = 0,
+    ambiguous: float = AMBIGUOUS,
+    **options,
+) -> DataFrame:
     """The rows of `docs` whose language is known and not ambiguous, with all their columns."""
     rows = inputs(docs, doc_id=id_col, text=text_col, lang=lang_col)
-    model = fit_on(rows.where(~is_fold(F.col("doc_id"), 5, 0)), **options)
-    whole = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in docs.columns))).select(
-        "_row", F.col(f"`{text_col}`").alias("text")
-    )
-    found = predict(whole, model)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous"))
-    return kept.select("_row.*")
+    model = fit_on(rows.where(~is_fold(F.col("doc_id"), folds, held_out)), **options)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            names, _, unsure = decide(shared.value, text_bytes(batch.column(text_col)), ambiguous)
+            yield batch.filter(pa.array(~unsure & (np.array(names, dtype=object) != UNKNOWN)))
+
+    return docs.mapInArrow(run, docs.schema)
