@@ -5,8 +5,8 @@ newline for the end. The tree's states are contexts of up to `DEPTH` bytes befor
 A context is tested if it makes at least the share `LEAST_SHARE` of all positions, and kept
 if its next-symbol distribution diverges from that of the context one byte shorter: if the
 count times the Kullback-Leibler divergence is above `LEAST_GAIN`; contexts on the way to a
-kept one are kept too. Distributions are smoothed with the shorter context's, down to the
-root's with a constant added. A symbol is scored in the longest kept context it follows. Sums
+kept one are kept too. Distributions are smoothed with the shorter context's, the more the
+more different symbols follow, down to the root's with a constant added. A symbol is scored in the longest kept context it follows. Sums
 over the bytes of words and end are the log10 probability of the text.
 
 Counts come from all training texts: tasks count sorted keys of a context and its symbol, and
@@ -37,9 +37,9 @@ from patronmap.llm.common import Batches, inputs, is_fold, with_text_batches
 from patronmap.storage import store
 
 DEPTH = 5
-LEAST_SHARE = 5e-6
-LEAST_GAIN = 20.0
-PRIOR = 10.0  # weight of the shorter context's distribution, in occurrences
+LEAST_SHARE = 2e-6
+LEAST_GAIN = 5.0
+PRIOR = 3.0  # weight of the shorter context's distribution, in occurrences per different symbol
 ROOT_PRIOR = 0.5
 HOT_WORDS = 200_000
 HOT_BYTES = 64
@@ -168,7 +168,7 @@ def build_tree(levels: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, co
         if level:
             parent = ids[level - 1, context & ((1 << 8 * (level - 1)) - 1)]
             step[parent, column[context >> 8 * (level - 1)]] = state
-            weight, base = prior, shares[parent]
+            weight, base = prior * (f - e), shares[parent]
         else:
             weight, base = 256 * ROOT_PRIOR, shares[0].copy()
         own = np.zeros(len(used) + 1)

@@ -1,0 +1,105 @@
+import pytest
+from pyspark.sql import functions as F
+
+from patronmap.llm import mixing
+
+SCHEMA = "doc_id bigint, text string, source string, n_chars bigint, size string, s int, block string, lang string"
+
+
+def rows_of(sizes, start=0):
+    made = []
+    for source, counts in sizes.items():
+        for n in counts:
+            made.append((start + len(made), " ".join(f"w{start + len(made)}x{k}" for k in range(n)), source))
+    return made
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, s, None if t is None else len(t), "z", 1, "b", "en") for i, t, s in rows], SCHEMA)
+
+
+def slow_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Reshare the excess by weight until no source is above its limit."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, full, out = share * sum(sizes.values()), set(), {}
+    while True:
+        rest = [s for s in names if s not in full]
+        total = sum(weight[s] for s in rest)
+        out = {s: most * sizes[s] for s in full} | {s: left * weight[s] / total for s in rest}
+        above = [s for s in rest if out[s] > most * sizes[s] * (1 + 1e-12)]
+        if not above:
+            return out
+        for s in above:
+            full.add(s)
+            left -= most * sizes[s]
+
+
+SIZES = {"b": [500, 30, 1], "a": [4000] * 6, None: [700, 2], "é": [90], "z": [10] * 40, "ab": [3]}
+
+
+def test_targets_and_words_taken(spark):
+    rows = [*rows_of(SIZES), (900, None, "a"), (901, " \n", "a"), (902, "", "only empty")]
+    found = mixing.mix(frame(spark, rows), block_words=8, shard_slots=16).taken().collect()
+    sizes = {s: sum(c) for s, c in SIZES.items()} | {"only empty": 0}
+    targets = slow_targets(sizes)
+    assert len(found) == len(rows)
+    taken = {}
+    for r in found:
+        assert r.size == len((dict((i, t) for i, t, _ in rows)[r.doc_id] or "").split())
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(targets[r.source])
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    for source, target in targets.items():
+        assert abs(taken[source] - target) <= 8 + 8
+
+
+def test_reruns_and_partitions_agree(spark):
+    df = frame(spark, rows_of(SIZES))
+    one = sorted((r.doc_id, r.taken) for r in mixing.mix(df).taken().collect())
+    assert one == sorted((r.doc_id, r.taken) for r in mixing.mix(df.repartition(5)).taken().collect())
+
+
+def test_every_slot_takes_a_block_and_turns_are_permutations(spark):
+    made = mixing.mix(frame(spark, rows_of(SIZES)), block_words=4, shard_slots=32)
+    sources = {r.s: r for r in made.sources.collect()}
+    slots = made.slots.collect()
+    by_turn = {}
+    for r in slots:
+        by_turn.setdefault((r.s, r.number // sources[r.s].blocks), []).append(r.block)
+    for (s, _), blocks in by_turn.items():
+        assert len(set(blocks)) == len(blocks) and 0 <= min(blocks) and max(blocks) < sources[s].blocks
+    for s, r in sources.items():
+        numbers = sorted(x.number for x in slots if x.s == s)
+        assert numbers == list(range(r.quota))
+
+
+def test_permutations_of_any_length(spark):
+    for n in (1, 2, 3, 7, 100):
+        rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit(3)).alias("p")).collect()
+        assert sorted(r.p for r in rows) == list(range(n))
+    rows = spark.range(1000).select(mixing.permuted(F.col("id"), F.lit(1000).cast("bigint"), F.lit(4)).alias("p")).collect()
+    assert sum(abs(r.p - i) < 20 for i, r in enumerate(rows)) < 100
+
+
+def test_empty_table(spark):
+    assert mixing.mix(frame(spark, [])).taken().collect() == []
+    assert mixing.mixed_documents(frame(spark, [])).collect() == []
+    assert [r.taken for r in mixing.mix(frame(spark, [(1, None, None)])).taken().collect()] == [0]
+
+
+def test_mixed_documents_hold_the_words_taken(spark):
+    rows = [*rows_of(SIZES), (900, None, "a"), (3, rows_of(SIZES)[3][1], "a"), (None, "lone words here", "b")]
+    df = frame(spark, rows)
+    taken = {}
+    for r in mixing.mix(df, block_words=8).taken().collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    found = mixing.mixed_documents(df, block_words=8)
+    assert found.columns == df.columns
+    words = {}
+    for r in found.collect():
+        assert r.n_chars == len(r.text) and r.block == "b"
+        whole = {t for i, t, s in rows if (i, s) == (r.doc_id, r.source)}
+        assert set(r.text.split()) <= set(" ".join(x or "" for x in whole).split())
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    assert words == {i: n for i, n in taken.items() if n}
