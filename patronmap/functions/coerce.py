@@ -10,25 +10,34 @@ from pyspark.sql import types as T
 
 # Spark reads Java number literals such as `1d`, `2.5F` or `0x1p3`; a data file means text by them.
 JAVA_ONLY_NUMBER = r"(?i)([0-9.]\s*[df]|0x.*)\s*$"
-# A bare time of day would be completed with today's date.
-STARTS_WITH_YEAR = r"^\s*[0-9]{4}"
+# A bare time of day would be completed with today's date, and more digits taken for a year.
+ISO_DATE = r"^\s*[0-9]{4}(\s*$|[-T])"
+COMPACT_DATE = r"^\s*[0-9]{8}\s*$"
 # Anything but white space, the ASCII separators included.
 NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
 
 def as_timestamp(column: Column, dtype: T.DataType, formats: Sequence[str] = ()) -> Column:
-    """Timestamp of a date, timestamp or text column.
+    """Timestamp of a date, timestamp, number or text column.
 
-    Text may be ISO 8601 or follow any of `formats`; each row is read by itself.
+    Text may be ISO 8601, with or without dashes, or follow any of `formats`; each row is
+    read by itself. A number counts nanoseconds from 1970. Any other type has no dates.
     """
     if isinstance(dtype, T.StringType):
-        iso = F.when(column.rlike(STARTS_WITH_YEAR), F.try_to_timestamp(column))
-        return F.coalesce(iso, *(F.try_to_timestamp(column, F.lit(f)) for f in formats))
+        iso = F.when(column.rlike(ISO_DATE), F.try_to_timestamp(column))
+        compact = F.try_to_timestamp(F.trim(column), F.lit("yyyyMMdd"))
+        compact = F.when(column.rlike(COMPACT_DATE), compact)
+        others = (F.try_to_timestamp(column, F.lit(f)) for f in formats)
+        return F.coalesce(iso, compact, *others)
+    if isinstance(dtype, T.IntegralType):
+        return F.timestamp_micros(F.call_function("div", column.cast("bigint"), F.lit(1000)))
+    if isinstance(dtype, T.NumericType):
+        return F.timestamp_micros(F.floor(column / 1000).try_cast("bigint"))
     if isinstance(dtype, T.TimestampType):
         return column
     if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
         return column.cast("timestamp")
-    raise TypeError(f"cannot read a date from {dtype.simpleString()}")
+    return F.lit(None).cast("timestamp")
 
 
 def as_number(column: Column, dtype: T.DataType) -> Column:

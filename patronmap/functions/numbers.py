@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def half_even(column: Column, digits: int = 2) -> Column:
@@ -25,6 +26,12 @@ def number_or_null(column: Column) -> Column:
     return F.when(~F.isnan(column), column)
 
 
+def known_number(df: DataFrame, name: str) -> Column:
+    """The column with NaN as null; types that have no NaN stay as they are."""
+    fractional = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+    return number_or_null(F.col(name)) if fractional else F.col(name)
+
+
 def double_text(value: float) -> str:
     """SQL text of a double; long generated expressions are quicker to build as text."""
     value = float(value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronmap.storage import store
+from patronmap.storage import scratch, store
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -14,35 +14,45 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     `nodes` has the column node, `edges` the columns src and dst, each edge once. Every
     round passes the label of a node's label along the edges, both to the neighbour and
     to the neighbour's label, so rounds grow with the logarithm of a path, not with its
-    length. Each round is written to the shared folder.
+    length. Each round is written to the shared folder and deleted after the next one.
     """
-    both = store(
-        edges.select("src", "dst").unionAll(edges.select(F.col("dst"), F.col("src"))), "edges"
-    )
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while True:
-        onward = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        # Many nodes come to share a label; adaptive execution splits such a partition.
-        state = labels.select("node", "label").join(onward, "label")
-        offered = (
-            both.join(state, both.dst == state.node)
-            .groupBy("src")
-            .agg(F.min("far").alias("offer"))
-            .withColumnRenamed("src", "node")
-        )
-        best = F.least("label", "far", "offer").alias("best")
-        # The best label goes to the node, and to the node that gave it its old label.
-        to_both = F.array(
-            F.struct("node", "best", F.col("label").alias("old")),
-            F.struct(F.col("label").alias("node"), "best", F.lit(None).alias("old")),
+    spark = nodes.sparkSession
+    with scratch(spark) as scope:
+        both = store(
+            edges.select("src", "dst").unionAll(edges.select(F.col("dst"), F.col("src"))), "edges"
         )
-        labels = store(
-            state.join(offered, "node", "left")
-            .select("node", "label", best)
-            .select(F.inline(to_both))
-            .groupBy("node")
-            .agg(F.min("best").alias("label"), F.max("old").alias("old")),
-            "labels",
-        )
-        if labels.where(F.col("label") != F.col("old")).isEmpty():
-            return labels.drop("old")
+        labels = nodes.select("node", F.col("node").alias("label"))
+        before = None
+        while True:
+            labels = store(_round(labels, both), "labels")
+            if before is not None:
+                scope.drop(before)
+            before = scope.last()
+            if labels.where(F.col("label") != F.col("old")).isEmpty():
+                scope.release(before)
+                return labels.drop("old")
+
+
+def _round(labels: DataFrame, both: DataFrame) -> DataFrame:
+    onward = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+    # Many nodes come to share a label; adaptive execution splits such a partition.
+    state = labels.select("node", "label").join(onward, "label")
+    offered = (
+        both.join(state, both.dst == state.node)
+        .groupBy("src")
+        .agg(F.min("far").alias("offer"))
+        .withColumnRenamed("src", "node")
+    )
+    best = F.least("label", "far", "offer").alias("best")
+    # The best label goes to the node, and to the node that gave it its old label.
+    to_both = F.array(
+        F.struct("node", "best", F.col("label").alias("old")),
+        F.struct(F.col("label").alias("node"), "best", F.lit(None).alias("old")),
+    )
+    return (
+        state.join(offered, "node", "left")
+        .select("node", "label", best)
+        .select(F.inline(to_both))
+        .groupBy("node")
+        .agg(F.min("best").alias("label"), F.max("old").alias("old"))
+    )

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patronmap.functions.numbers import known_number
 from patronmap.operators.cleaning import drop_missing
 from patronmap.operators.ranking import quantile_cuts, rank_metrics, widen_ranks
 from patronmap.schema import AMOUNT, CUSTOMER, DATE, FREQUENCY, LABEL, MONETARY, RECENCY
@@ -33,7 +34,7 @@ def compute_rfm(df: DataFrame, snapshot: str) -> DataFrame:
         .agg(
             last.alias("_last"),
             F.count(DATE).alias(FREQUENCY),
-            F.coalesce(F.sum(AMOUNT).cast("double"), F.lit(0.0)).alias(MONETARY),
+            F.coalesce(F.sum(known_number(df, AMOUNT)).cast("double"), F.lit(0.0)).alias(MONETARY),
         )
         .select(CUSTOMER, whole_days.alias(RECENCY), FREQUENCY, MONETARY)
     )
@@ -85,6 +86,7 @@ def label_segments(
 ) -> DataFrame:
     """Name the segment of each customer; the first rule that holds wins.
 
+    A customer without scores has no segment.
     Limits are computed in Python and compared as doubles: a weighted score that should
     sit exactly on a limit may miss it by one rounding, and must do so the same way here.
     """
@@ -112,6 +114,6 @@ def label_segments(
         .when(r_max(share.risk_r_max) & fm_min(share.risk_fm_min), "At Risk")
         .when(r_max(share.lost_r_max) & fm_max(share.lost_fm_max), "Lost")
         .when(r_min(share.new_r_min) & fm_max(share.new_fm_max), "New")
-        .otherwise("Regular")
+        .when(r.isNotNull() & fm.isNotNull(), "Regular")
     )
     return weighted.withColumn(LABEL, label)

@@ -18,7 +18,7 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 def dedup_segments(segments: DataFrame) -> DataFrame:
     """One row per customer with whichever segment columns exist.
 
-    Of several rows the first by (Segment_label, cluster) is kept, nulls first: a
+    Of several rows the first by (Segment_label, cluster) is kept, known values first: a
     minimum, so a customer with very many rows is reduced before the shuffle.
 
     The customer is grouped inside a struct. A join on it then exchanges this side anew,
@@ -28,7 +28,8 @@ def dedup_segments(segments: DataFrame) -> DataFrame:
     """
     present = [c for c in (LABEL, CLUSTER) if c in segments.columns]
     who = F.struct(CUSTOMER).alias("_who")
-    first = F.min(F.struct(*present, F.lit(None))).alias("_first")
+    order = [x for c in present for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+    first = F.min(F.struct(*order, F.lit(None))).alias("_first")
     ordered = [c for c in SEGMENT_COLUMNS if c in present]
     return (
         segments.groupBy(who)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronmap.functions.numbers import half_even, ratio
+from patronmap.functions.numbers import half_even, known_number, ratio
 from patronmap.functions.periods import PERIODS, period_label
 from patronmap.schema import AMOUNT, CUSTOMER, DATE, LABEL, REVENUE, TRANSACTIONS
 
@@ -20,11 +20,11 @@ def _is_activity(df: DataFrame) -> bool:
 
 
 def revenue_of(df: DataFrame) -> Column:
-    return F.sum(REVENUE if _is_activity(df) else AMOUNT)
+    return F.sum(known_number(df, REVENUE if _is_activity(df) else AMOUNT))
 
 
 def transactions_of(df: DataFrame) -> Column:
-    return F.sum(TRANSACTIONS) if _is_activity(df) else F.count(AMOUNT)
+    return F.sum(TRANSACTIONS) if _is_activity(df) else F.count(known_number(df, AMOUNT))
 
 
 def activity(df: DataFrame, rule: str | None = "D") -> DataFrame:

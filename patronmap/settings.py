@@ -6,7 +6,7 @@ Plain frozen dataclasses that are passed to operators; nothing here touches Spar
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 
 # Scaler and algorithm names.
 STANDARD_SCALER = "StandardScaler"
@@ -55,7 +55,8 @@ class SegmentRules:
     def of(cls, given: SegmentRules | Mapping[str, float] | None) -> SegmentRules:
         if isinstance(given, SegmentRules):
             return given
-        return cls(**{k: float(v) for k, v in (given or {}).items()})
+        names = {f.name for f in fields(cls)}
+        return cls(**{k: float(v) for k, v in (given or {}).items() if k in names})
 
 
 @dataclass(frozen=True)
@@ -70,6 +71,12 @@ class AutoK:
         object.__setattr__(self, "k_min", low)
         object.__setattr__(self, "k_max", high)
 
+    @classmethod
+    def of(cls, given: AutoK | Mapping[str, int] | None) -> AutoK:
+        if isinstance(given, AutoK):
+            return given
+        return cls(**{k: v for k, v in (given or {}).items() if k in ("k_min", "k_max")})
+
     def values(self) -> range:
         return range(self.k_min, self.k_max + 1)
 
@@ -88,14 +95,14 @@ class Settings:
 
     @classmethod
     def from_dict(cls, given: Mapping[str, object] | None = None) -> Settings:
-        """Defaults overlaid with `given`; the nested groups are merged key by key."""
+        """Defaults overlaid with `given`; nested groups are merged key by key, unknown keys ignored."""
         given = dict(given or {})
         base = cls()
         return replace(
             base,
             rfm_weights=Weights.of(given.get("rfm_weights")),
             default_scaler=given.get("default_scaler", base.default_scaler),
-            auto_k=AutoK(**given.get("auto_k", {})),
+            auto_k=AutoK.of(given.get("auto_k")),
             segmentation_default_algorithm=given.get(
                 "segmentation_default_algorithm", base.segmentation_default_algorithm
             ),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patronmap.operators.cleaning import coerce
 from patronmap.sources.mapping import ColumnMapping, map_columns
@@ -67,15 +68,20 @@ def detect_separator(spark: SparkSession, path: str) -> str:
     return best["separator"]
 
 
-def scan_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """All columns as text; nothing is inferred, so the data is not read twice for types."""
+def scan_delimited(
+    spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """All columns as text; nothing is inferred, so the data is not read twice for types.
+
+    With `multi_line`, quoted text may hold line breaks; a file is then one task's work.
+    """
     return spark.read.csv(
         path,
         header=True,
         sep=sep or detect_separator(spark, path),
         quote='"',
         escape='"',
-        multiLine=False,
+        multiLine=multi_line,
     )
 
 
@@ -85,14 +91,35 @@ def read_transactions(
     mapping: ColumnMapping,
     sep: str | None = None,
     formats: Sequence[str] = (),
+    multi_line: bool = False,
 ) -> DataFrame:
     """Delimited file as standard transactions; unreadable dates and amounts are null."""
-    return coerce(map_columns(scan_delimited(spark, path, sep), mapping), formats)
+    raw = scan_delimited(spark, path, sep, multi_line)
+    return coerce(map_columns(raw, mapping), formats)
+
+
+def _one_line(df: DataFrame) -> DataFrame:
+    """Text that holds a line break ends the job."""
+    message = F.lit("text with a line break: write and read it with multi_line=True")
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    quoted = {name: F.col("`" + name.replace("`", "``") + "`") for name in texts}
+    return df.withColumns(
+        {
+            name: F.when(column.contains("\n") | column.contains("\r"), F.raise_error(message)).otherwise(column)
+            for name, column in quoted.items()
+        }
+    )
+
 
+def write_delimited(
+    df: DataFrame, path: str, sep: str = ",", header: bool = True, multi_line: bool = False
+) -> None:
+    """Export as text, one file per partition; nulls are empty, quotes are doubled.
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
-    """Export as text, one file per partition; nulls are empty, quotes are doubled."""
-    df.write.csv(
+    Text is written as it is, white space included. Line breaks in text need `multi_line`,
+    here and when the files are read.
+    """
+    (df if multi_line else _one_line(df)).write.csv(
         path,
         sep=sep,
         header=header,
@@ -101,4 +128,6 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = Tru
         nullValue="",
         emptyValue='""',
         timestampFormat=TIMESTAMP_TEXT,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     )

@@ -6,6 +6,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patronmap.functions.coerce import as_number
 from patronmap.schema import AMOUNT, CUSTOMER, DATE
@@ -46,12 +47,15 @@ def _quoted(name: str) -> Column:
 def amount_of(df: DataFrame, mapping: ColumnMapping) -> Column:
     if mapping.amount_col is not None:
         return _quoted(mapping.amount_col)
-    factors = (
-        as_number(_quoted(name), df.schema[name].dataType)
-        for name in (mapping.qty_col, mapping.price_col)
-    )
-    quantity, price = factors
-    return quantity * price
+    quantity, price = (_factor(df, name) for name in (mapping.qty_col, mapping.price_col))
+    return F.try_multiply(quantity, price)
+
+
+def _factor(df: DataFrame, name: str) -> Column:
+    """Number of a column; integers are widened, and a product beyond that is null."""
+    dtype = df.schema[name].dataType
+    number = as_number(_quoted(name), dtype)
+    return number.cast("bigint") if isinstance(dtype, T.IntegralType) else number
 
 
 def map_columns(df: DataFrame, mapping: ColumnMapping) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from patronmap.schema import CUSTOMER, DATE
 from patronmap.sources.delimited import write_delimited
 from patronmap.sources.mapping import ColumnMapping
+from patronmap.storage import delete_folder
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame | None:
@@ -32,11 +33,15 @@ def export_available(
     """
     written = []
     for name, df in tables.items():
-        if df is None or df.isEmpty():
+        if df is None:
             continue
         seen = Observation()
         write_delimited(df.observe(seen, F.count(F.lit(1)).alias("rows")), f"{path}/{name}")
-        written.append((name, seen.get["rows"]))
+        rows = seen.get["rows"]
+        if rows:
+            written.append((name, rows))
+        else:
+            delete_folder(spark, f"{path}/{name}")
     return spark.createDataFrame(written, "`table` STRING, `rows` BIGINT")
 
 
