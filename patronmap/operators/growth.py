@@ -12,6 +12,7 @@ from patronmap.functions.numbers import half_even, number_or_null
 from patronmap.functions.periods import month_index, month_start, month_text, step_text
 from patronmap.operators.trends import revenue_of
 from patronmap.schema import DATE, LABEL, REVENUE
+from patronmap.storage import store
 
 
 def month_segment_revenue(df: DataFrame, segment: str = LABEL) -> DataFrame:
@@ -26,31 +27,23 @@ def month_segment_revenue(df: DataFrame, segment: str = LABEL) -> DataFrame:
 def month_segment_matrix(df: DataFrame, segment: str = LABEL) -> DataFrame:
     """Every month seen in any segment times every segment, in long form.
 
-    Pairs without rows have null revenue; months seen in no segment are absent. The list
-    of months travels with the rows, so the transactions are read once.
+    Pairs without rows have null revenue; months seen in no segment are absent. The sums
+    are written once; months and segments are distinct values of that small table.
     """
-    all_months = F.collect_set("month").over(Window.partitionBy())
-    by_segment = (
-        month_segment_revenue(df, segment)
-        .withColumn("_months", all_months)
-        .groupBy("segment")
-        .agg(
-            F.map_from_entries(F.collect_list(F.struct("month", REVENUE))).alias("_revenue"),
-            F.first("_months").alias("_months"),
-        )
-    )
-    return by_segment.select(
-        "segment", F.explode("_months").alias("month"), "_revenue"
-    ).select(
-        "month",
-        month_index(F.col("month")).alias("month_index"),
-        "segment",
-        F.try_element_at("_revenue", F.col("month")).alias(REVENUE),
+    sums = store(month_segment_revenue(df, segment), "sums")
+    # One row with an array of months, joined to each segment: segments x months rows.
+    months = sums.select("month").distinct().agg(F.collect_list("month").alias("_months"))
+    grid = sums.select("segment").distinct().join(F.broadcast(months))
+    grid = grid.select("segment", F.explode("_months").alias("month"))
+    return grid.join(sums, ["segment", "month"], "left").select(
+        "month", month_index(F.col("month")).alias("month_index"), "segment", REVENUE
     )
 
 
-def month_segment_wide(df: DataFrame, values: list, segment: str = LABEL) -> DataFrame:
-    """The matrix with one column per segment in `values`."""
+def month_segment_wide(
+    df: DataFrame, values: list | None = None, segment: str = LABEL
+) -> DataFrame:
+    """The matrix with one column per segment in `values`, or per segment there is."""
     return (
         df.where(F.col(segment).isNotNull())
         .groupBy(month_start(F.col(DATE)).alias("month"))

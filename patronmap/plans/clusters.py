@@ -6,47 +6,68 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
+from patronmap.operators import clustering
 from patronmap.operators.cleaning import drop_missing
-from patronmap.operators.clustering import SEED, assign_tree, cluster_points, fit_kmeans
-from patronmap.operators.clustering import nearest_centroid, takes_few_values
 from patronmap.operators.density import dbscan
 from patronmap.operators.features import scaled_columns
 from patronmap.schema import CLUSTER, CUSTOMER, RFM_METRICS
-from patronmap.settings import DBSCAN, HIERARCHICAL, HIERARCHICAL_LONG, KMEANS, STANDARD_SCALER
-from patronmap.settings import Weights
-from patronmap.storage import store
+from patronmap.settings import DBSCAN, HIERARCHICAL, HIERARCHICAL_LONG, KMEANS, Settings, Weights
+from patronmap.storage import scratch, store
 
 
 def segment(
     customers: DataFrame,
-    algorithm: str = KMEANS,
+    algorithm: str | None = None,
     features: Sequence[str] = RFM_METRICS,
-    scaler: str = STANDARD_SCALER,
+    scaler: str | None = None,
     weights: Weights | Mapping | None = None,
     k: int | None = None,
     eps: float | None = None,
     min_samples: int | None = None,
-    seed: int = SEED,
+    settings: Settings | None = None,
 ) -> DataFrame:
     """Stored `customers` with complete features, plus `cluster`.
 
-    K-Means and the divisive tree need `k` and number clusters by the order of their
-    centres; DBSCAN needs `eps` and `min_samples`, in units of the scaled features.
+    Algorithm, scaler and weights not given are those of `settings`. K-Means and the
+    divisive tree number clusters by the order of their centres; without `k` they take the
+    best of the settings' range. DBSCAN needs `eps` and `min_samples`, in units of the
+    scaled features.
     """
-    complete = drop_missing(customers, *features)
-    scaled = {f"_{f}": c for f, c in scaled_columns(complete, features, scaler, weights).items()}
-    table = store(complete.withColumns(scaled), "scaled")
-    names = list(scaled)
-    if algorithm == DBSCAN:
-        if eps is None or min_samples is None:
-            raise ValueError("DBSCAN needs eps and min_samples")
-        return dbscan(table, names, eps, min_samples, CUSTOMER).drop(*names)
-    if algorithm not in (KMEANS, HIERARCHICAL, HIERARCHICAL_LONG):
+    if settings is not None:
+        algorithm = algorithm or settings.segmentation_default_algorithm
+        scaler = scaler or settings.default_scaler
+        weights = settings.rfm_weights if weights is None else weights
+    defaults = settings or Settings()
+    algorithm, scaler = algorithm or KMEANS, scaler or defaults.default_scaler
+    if algorithm not in (DBSCAN, KMEANS, HIERARCHICAL, HIERARCHICAL_LONG):
         raise ValueError(f"unknown algorithm {algorithm!r}")
-    if k is None:
-        raise ValueError(f"{algorithm} needs k")
-    if algorithm != KMEANS:
-        return assign_tree(table, names, k, seed).drop(*names)
-    points = cluster_points(table, names, takes_few_values(features))
-    fitted = fit_kmeans(points, names, k, seed)
-    return table.withColumn(CLUSTER, nearest_centroid(names, fitted.points)).drop(*names)
+    if algorithm == DBSCAN and (eps is None or min_samples is None):
+        raise ValueError("DBSCAN needs eps and min_samples")
+    if algorithm != DBSCAN and k is None and settings is None:
+        raise ValueError(f"{algorithm} needs k, or settings with a range to choose from")
+    with scratch(customers.sparkSession) as scope:
+        complete = drop_missing(customers, *features)
+        scaled = scaled_columns(complete, features, scaler, weights)
+        names = [f"_{f}" for f in features]
+        table = store(complete.withColumns({f"_{f}": c for f, c in scaled.items()}), "scaled")
+        if algorithm == DBSCAN:
+            found = dbscan(table, names, eps, min_samples, CUSTOMER)
+            scope.release(scope.last())
+            return found.drop(*names)
+        points = store(clustering.grid_points(table, names), "points").persist()
+        try:
+            if k is None:
+                best = clustering.best_k(clustering.auto_k(customers, features, scaler, defaults.auto_k)).first()
+                if best is None:
+                    raise ValueError("too few customers for the range of k")
+                k = best.k
+            # Rows are placed by the rounded values that the fit has seen.
+            rounded = table.withColumns({n: clustering.on_grid(n) / clustering.GRID for n in names})
+            if algorithm == KMEANS:
+                fitted = clustering.fit_kmeans(points, k)
+                labelled = clustering.assign_nearest(rounded, names, fitted.points) if fitted.points else rounded.selectExpr("*", f"CAST(NULL AS INT) AS {CLUSTER}")
+            else:
+                labelled = clustering.assign_tree(rounded, names, clustering.fit_tree(points, k))
+            return scope.keep(labelled.drop(*names), "clusters")
+        finally:
+            points.unpersist()

@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from patronmap.schema import CUSTOMER, DATE
+from patronmap.operators.segments import customers_of_segment
+from patronmap.schema import CUSTOMER, DATE, LABEL
 from patronmap.sources.delimited import write_delimited
 from patronmap.sources.mapping import ColumnMapping
 from patronmap.storage import delete_folder
@@ -24,6 +25,30 @@ def read_result(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def result_path(folder: str, dataset_id: str, kind: str) -> str:
+    """Where the result of a kind, such as rfm or clusters, of a dataset is stored."""
+    return f"{folder}/{dataset_id}_{kind}.parquet"
+
+
+def store_result(df: DataFrame, folder: str, dataset_id: str, kind: str) -> None:
+    """Store a result of a dataset, in place of an earlier one."""
+    df.write.mode("overwrite").parquet(result_path(folder, dataset_id, kind))
+
+
+def stored_result(
+    spark: SparkSession, folder: str, dataset_id: str, kind: str
+) -> DataFrame | None:
+    return read_result(spark, result_path(folder, dataset_id, kind))
+
+
+def export_segment(
+    segments: DataFrame, metrics: DataFrame, value: object, path: str, segment: str = LABEL
+) -> None:
+    """Write the customers of one segment with their metrics, one delimited row each."""
+    chosen = customers_of_segment(segments, value, segment)
+    write_delimited(chosen.join(metrics, CUSTOMER, "left"), path)
+
+
 def export_available(
     spark: SparkSession, tables: Mapping[str, DataFrame | None], path: str
 ) -> DataFrame:

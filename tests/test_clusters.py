@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import as_dict
 from patronmap.operators import clustering as c
@@ -12,19 +15,19 @@ from patronmap.operators.components import connected_components
 from patronmap.operators.density import dbscan
 from patronmap.operators.features import prepare_features
 from patronmap.plans.clusters import segment
-from patronmap.settings import AutoK
+from patronmap.settings import AutoK, Settings
+from patronmap.storage import shared_folder
 
 XY = ["f", "g"]
 
 
 def test_standard_scaling(spark):
-    frame = spark.createDataFrame(
-        [(10, 1, 100.0), (20, 2, 200.0)], "recency BIGINT, frequency BIGINT, monetary DOUBLE"
-    )
-    scaled = prepare_features(
-        frame, ["recency", "frequency", "monetary"], "StandardScaler", {"R": 1, "F": 1, "M": 1}
-    )
-    assert sorted(map(tuple, scaled.collect())) == [(-1.0, -1.0, -1.0), (1.0, 1.0, 1.0)]
+    """Population deviation: of 3, 7, 11, 15 it is sqrt(20)."""
+    frame = spark.createDataFrame([(3, 5.0), (7, 5.0), (11, 9.0), (15, 9.0)], "recency BIGINT, monetary DOUBLE")
+    scaled = prepare_features(frame, ["recency", "monetary"], "StandardScaler", {"R": 2, "M": 0.5})
+    rows = sorted(map(tuple, scaled.collect()))
+    assert [r[1] for r in rows] == [-1.0, -1.0, 1.0, 1.0]
+    assert [r[0] * 20**0.5 for r in rows] == pytest.approx([-6.0, -2.0, 2.0, 6.0])
 
 
 @pytest.mark.parametrize("scaler", ["StandardScaler", "MinMaxScaler"])
@@ -118,14 +121,126 @@ def test_sweep_stops_below_the_number_of_rows(spark):
     assert [r.k for r in c.auto_k(frame, XY, ks=AutoK(2, 9)).collect()] == [2]
 
 
-def test_score_vectors_are_merged(spark):
+def test_equal_points_are_merged(spark):
     rows = [(5, 5, 5)] * 10 + [(1, 1, 1)] * 10 + [(1, 1, 2)] * 5
     frame = spark.createDataFrame(rows, "R_score INT, F_score INT, M_score INT")
-    points = c.cluster_points(frame, c.SCORES, c.takes_few_values(c.SCORES))
-    assert points.count() == 3
-    merged = c.auto_k(frame, list(c.SCORES), ks=AutoK(2, 2)).first()
-    single = c.fit_kmeans(frame.withColumnsRenamed(dict(zip(c.SCORES, "abc"))), "abc", 2)
-    assert merged.k == 2 and single.inertia > 0
+    points = c.grid_points(frame, c.SCORES)
+    assert sorted(r.weight for r in points.collect()) == [5, 10, 10]
+    fitted = c.fit_kmeans(points, 2)
+    assert fitted.sizes == (15, 10) and fitted.inertia == pytest.approx(10 * 5 / 15)
+    swept = c.auto_k(frame, list(c.SCORES), ks=AutoK(2, 2)).first()
+    assert (swept.k, swept.metric) == (2, sil.EUCLIDEAN)
+
+
+def slow_kmeans(points, k):
+    """Plain rounds over all rows, from the same starts."""
+    def gaps(centres):
+        return ((points[:, None, :] - np.array(centres)[None]) ** 2).sum(-1)
+
+    seeds = [points.mean(axis=0)]
+    far = gaps(seeds)[:, 0]
+    centres = []
+    for _ in range(k):
+        at = min(range(len(points)), key=lambda i: (-far[i], *points[i]))
+        centres.append(points[at])
+        far = gaps(centres).min(axis=1)
+    while True:
+        own = gaps(centres).argmin(axis=1)
+        moved = [points[own == i].mean(axis=0) if (own == i).any() else c for i, c in enumerate(centres)]
+        if np.allclose(moved, centres, atol=1e-12):
+            return sorted(map(tuple, centres)), gaps(centres).min(axis=1).sum()
+        centres = moved
+
+
+@pytest.mark.parametrize("k", [1, 3, 6])
+def test_fit_equals_plain_rounds(spark, k):
+    points = np.random.default_rng(k).normal(size=(200, 2)).round(6)
+    frame, _ = frame_of(spark, points)
+    fitted = c.fit_kmeans(c.grid_points(frame, XY), k)
+    centres, inertia = slow_kmeans(points, k)
+    assert np.allclose(fitted.points, centres, atol=1e-9) and fitted.inertia == pytest.approx(inertia)
+    assert sum(fitted.sizes) == 200
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    frame, _ = frame_of(spark, np.random.default_rng(5).normal(size=(500, 2)))
+    fits = [c.fit_all(c.grid_points(frame, XY).repartition(n), [2, 4]) for n in (1, 4, 8)]
+    for k in (2, 4):
+        assert len({f[k].points for f in fits}) == 1 and len({f[k].rounds for f in fits}) == 1
+        assert len({round(f[k].inertia, 9) for f in fits}) == 1
+    trees = [c.fit_tree(c.grid_points(frame, XY).repartition(n), 4) for n in (1, 4)]
+    assert [leaf.centre for leaf in trees[0]] == [leaf.centre for leaf in trees[1]]
+
+
+def test_rounds_have_a_told_limit(spark):
+    frame, _ = frame_of(spark, np.random.default_rng(5).normal(size=(300, 2)))
+    with pytest.raises(RuntimeError, match="still move after 1 rounds"):
+        c.fit_kmeans(c.grid_points(frame, XY), 5, max_rounds=1)
+
+
+def test_large_weights_do_not_overflow(spark):
+    rows = [(-40 * 10**9, 3 * 10**9), (40 * 10**9, 10**9), (39 * 10**9, 10**9)]
+    points = spark.createDataFrame(rows, "g0 BIGINT, weight BIGINT")
+    assert c.fit_kmeans(points, 2).points == ((-40.0,), (39.5,))
+    assert c.fit_kmeans(points, 1).points == ((-8.2,),)
+
+
+def test_fewer_points_than_clusters_and_none(spark):
+    frame = spark.createDataFrame([(1.0, 1.0)] * 3 + [(2.0, 2.0)] * 2, "f DOUBLE, g DOUBLE")
+    assert c.fit_kmeans(c.grid_points(frame, XY), 4).inertia == 0.0
+    assert len(c.fit_tree(c.grid_points(frame, XY), 4)) == 2
+    assert c.fit_kmeans(c.grid_points(frame.limit(0), XY), 2).points == ()
+    assert c.auto_k(frame.limit(0), XY).collect() == []
+
+
+def test_squared_silhouette_of_many_clusters(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(5000, 2)) * 100
+    points = np.concatenate([centres, centres + 0.01])
+    pdf = pd.DataFrame(points, columns=XY).assign(cluster=np.tile(np.arange(5000), 2))
+    value = sil.silhouette(spark.createDataFrame(pdf), XY, metric=sil.SQUARED_EUCLIDEAN)
+    assert 0.9 < value <= 1.0
+    with pytest.raises(ValueError, match="too many"):
+        sil.silhouette(spark.createDataFrame(pdf), XY)
+
+
+def test_infinite_features_are_an_error(spark):
+    frame = spark.createDataFrame([(1.0, 1.0, 1), (float("inf"), 2.0, 2), (3.0, 1.0, 3)], "f DOUBLE, g DOUBLE, customer_id INT")
+    for scaler in ("StandardScaler", "MinMaxScaler"):
+        with pytest.raises(ValueError, match="infinite values cannot be scaled: f"):
+            segment(frame, "DBSCAN", XY, scaler, eps=1.0, min_samples=2)
+
+
+def test_settings_choose_algorithm_scaler_and_k(spark):
+    frame, pdf = frame_of(spark, blobs())
+    given = {"default_scaler": "MinMaxScaler", "segmentation_default_algorithm": "Hierarchical (Agglomerative)", "auto_k": {"k_min": 6, "k_max": 2}}
+    done = segment(frame, features=XY, settings=Settings.from_dict(given))
+    assert done.select("cluster").distinct().count() == 3
+    with pytest.raises(ValueError, match="needs k"):
+        segment(frame, features=XY)
+
+
+def folders(spark):
+    base = Path(shared_folder(spark).removeprefix("file:")) / "patronmap" / spark.sparkContext.applicationId
+    return {p.name for p in base.iterdir()} if base.is_dir() else set()
+
+
+def test_only_the_result_is_left_behind(spark):
+    frame, _ = frame_of(spark, blobs())
+    before = folders(spark)
+    found = segment(frame, "DBSCAN", XY, eps=0.3, min_samples=4)
+    assert len(folders(spark) - before) == 1 and found.count() == 180
+    before = folders(spark)
+    c.auto_k(frame, XY, ks=AutoK(2, 3))
+    assert folders(spark) == before
+
+
+def test_neighbours_are_looked_up_along_the_widest_axes(spark):
+    names = [f"x{i}" for i in range(6)]
+    points = spark.range(50).select(*(F.lit(0.0).alias(n) for n in names[:3]), *((F.col("id") * 0.1 * i).alias(n) for i, n in enumerate(names[3:], 1)))
+    grid = density._Grid(6, 0.5)
+    grid.choose_lookups(points)
+    assert grid.lookups == [3, 4, 5]
 
 
 @pytest.mark.parametrize("algorithm", ["K-Means", "Hierarchical", "Hierarchical (Agglomerative)"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload.queries import CHOSEN_SEGMENT, EPS, METRIC_CENTRES, MIN_SAMPLES, RANGE, RULES
+from workload.queries import CHOSEN_SEGMENT, EPS, K, METRIC_CENTRES, MIN_SAMPLES, RANGE, RULES
 from workload.queries import SCORE_CENTRES, WEIGHTS
 from workload.tables import SNAPSHOT
 
@@ -17,7 +17,9 @@ EVENTS = """tx AS (
 
 SEGMENTS = """seg AS (
   SELECT c_custkey AS customer_id, c_nationkey AS "cluster", c_mktsegment AS "Segment_label"
-  FROM customer WHERE c_acctbal >= 0)"""
+  FROM customer)"""
+
+SEGMENTS_IN_CREDIT = SEGMENTS.replace("FROM customer", "FROM customer WHERE c_acctbal >= 0")
 
 MESSY = """messy AS (
   SELECT o_orderkey,
@@ -248,6 +250,133 @@ FROM scaled LEFT JOIN labelled ON labelled.id = scaled.customer_id
 LEFT JOIN border ON border.id = scaled.customer_id"""
 
 
+# K-Means in rounds, on points g0, g1, .. (multiples of 1e-9) that stand for w rows each.
+GRID = "CAST(1e9 AS DOUBLE)"
+
+
+def _list(template: str, d: int, glue: str = ", ") -> str:
+    return glue.join(template.replace("#", str(i)) for i in range(d))
+
+
+def _squared(a: str, b: str, d: int) -> str:
+    return _list(f"({a}# - {b}#) * ({a}# - {b}#)", d, " + ")
+
+
+def _means(alias: str, d: int) -> str:
+    return _list(f"CAST(sum(g# * w) AS DOUBLE) / sum(w) / {GRID} AS {alias}#", d)
+
+
+def kmeans_cte(name: str, points: str, k: int, d: int) -> str:
+    """`name`_x: the points with x0..; `name`: (idx, c0..) of the centres that no round moves."""
+    order = _list("x#", d)
+    return f"""{name}_x AS MATERIALIZED (SELECT *, {_list(f"g# / {GRID} AS x#", d)} FROM {points}),
+{name}_mean AS (SELECT {_means("m", d)} FROM {points}),
+{name}_first AS (SELECT {_list("x# AS c#", d)} FROM {name}_x, {name}_mean
+  ORDER BY {_squared("x", "m", d)} DESC, {order} LIMIT 1),
+{name}_far AS (
+  SELECT 1 AS step, {order}, {_list("c#", d)}, {_squared("x", "c", d)} AS far
+  FROM {name}_x, {name}_first
+  UNION ALL
+  SELECT f.step + 1, {_list("f.x#", d)}, {_list("n.c#", d)}, least(f.far, {_squared("f.x", "n.c", d)})
+  FROM {name}_far f,
+    (SELECT {_list("x# AS c#", d)} FROM {name}_far ORDER BY far DESC, {order} LIMIT 1) n
+  WHERE f.step < {k}),
+{name}_rounds AS (
+  SELECT DISTINCT 0 AS round, step - 1 AS idx, {_list("c#", d)}, FALSE AS done FROM {name}_far
+  UNION ALL
+  SELECT round + 1, idx, {_list("coalesce(n#, c#)", d)},
+    bool_and({_list("coalesce(n#, c#) = c#", d, " AND ")}) OVER ()
+  FROM {name}_rounds LEFT JOIN (
+    SELECT own, {_means("n", d)} FROM (
+      SELECT {_list("g#", d)}, w, min(struct_pack(far := {_squared("x", "c", d)}, i := idx)).i AS own
+      FROM {name}_x, {name}_rounds GROUP BY {_list("g#", d)}, w)
+    GROUP BY own) ON own = idx
+  WHERE NOT done),
+{name} AS (SELECT row_number() OVER (ORDER BY {_list("c#", d)}) - 1 AS idx, {_list("c#", d)}
+  FROM {name}_rounds WHERE done)"""
+
+
+def nearest_cte(name: str, fitted: str, d: int) -> str:
+    """(g0.., x0.., w, own): the points of a fit and the centre nearest to each."""
+    return f"""{name} AS MATERIALIZED (
+  SELECT {_list("g#, x#", d)}, w, min(struct_pack(far := {_squared("x", "c", d)}, i := idx)).i AS own,
+    min({_squared("x", "c", d)}) AS error
+  FROM {fitted}_x, {fitted} GROUP BY {_list("g#, x#", d)}, w)"""
+
+
+def grid_cte(name: str, columns: list[str], source: str) -> str:
+    """`name`_rows: a row per customer with g0..; `name`: different points with their rows."""
+    d = len(columns)
+    grid = ", ".join(
+        f"CAST(round_even(({c}) * {GRID}, 0) AS BIGINT) AS g{i}" for i, c in enumerate(columns)
+    )
+    return f"""{name}_rows AS MATERIALIZED (SELECT *, {grid} FROM {source}),
+{name} AS MATERIALIZED (SELECT {_list("g#", d)}, count(*) AS w FROM {name}_rows GROUP BY ALL)"""
+
+
+def tree_cte(name: str, points: str, k: int, d: int) -> str:
+    """`name`: (g0.., leaf): the widest leaf is split in two until there are k."""
+    key, parts = _list("g#", d), [f"{name}0 AS (SELECT {_list('g#', d)}, w, 0 AS leaf FROM {points})"]
+    for s in range(1, k):
+        before, here, cut = f"{name}{s - 1}", f"{name}{s}", f"{name}_cut{s}"
+        parts.append(f"""{cut}_means AS (
+  SELECT leaf, {_means("c", d)} FROM {before} GROUP BY leaf),
+{cut}_errors AS (
+  SELECT leaf, {_list("any_value(c#) AS c#", d)}, sum(w * ({_list(f"(g# / {GRID} - c#) * (g# / {GRID} - c#)", d, " + ")})) AS error
+  FROM {before} JOIN {cut}_means USING (leaf) GROUP BY leaf),
+{cut}_widest AS (SELECT leaf FROM {cut}_errors WHERE error > 0
+  ORDER BY error DESC, {_list("c#", d)} LIMIT 1),
+{cut}_points AS MATERIALIZED (SELECT {key}, w FROM {before} JOIN {cut}_widest USING (leaf)),
+{kmeans_cte(cut, f"{cut}_points", 2, d)},
+{nearest_cte(f"{cut}_own", cut, d)},
+{here} AS MATERIALIZED (
+  SELECT {_list("b.g#", d)}, b.w, coalesce({2 * s - 1} + o.own, b.leaf) AS leaf
+  FROM {before} b LEFT JOIN {cut}_own o USING ({key}))""")
+    last = f"{name}{k - 1}"
+    parts.append(f"""{name}_means AS (SELECT leaf, {_means("c", d)} FROM {last} GROUP BY leaf),
+{name}_order AS (
+  SELECT leaf, row_number() OVER (ORDER BY {_list("c#", d)}) - 1 AS number FROM {name}_means),
+{name} AS (SELECT {key}, number FROM {last} JOIN {name}_order USING (leaf))""")
+    return ",\n".join(parts)
+
+
+METRIC_GRID = grid_cte("pts", [_standard(m) for m in ("recency", "frequency", "monetary")], "rfm")
+SCORE_GRID = grid_cte(
+    "pts",
+    [
+        f"""coalesce(CAST("{x}_score" - min("{x}_score") OVER () AS DOUBLE)
+      / nullif(max("{x}_score") OVER () - min("{x}_score") OVER (), 0), 0)"""
+        for x in "RFM"
+    ],
+    "scored",
+)
+
+
+def sweep_sql(base: str, ks: range, distance: str, metric: str, tail: str) -> str:
+    """K-Means and its silhouette, over all pairs of different points, for every k."""
+    parts, rows = [base], []
+    for k in ks:
+        parts += [kmeans_cte(f"k{k}", "pts", k, 3), nearest_cte(f"own{k}", f"k{k}", 3)]
+        parts.append(f"""sizes{k} AS (SELECT own, sum(w) AS n FROM own{k} GROUP BY own),
+pairs{k} AS (
+  SELECT a.g0, a.g1, a.g2, any_value(a.w) AS w, a.own, b.own AS other, sum(b.w * {distance}) AS total
+  FROM own{k} a CROSS JOIN own{k} b GROUP BY a.g0, a.g1, a.g2, a.own, b.own),
+sided{k} AS (
+  SELECT any_value(w) AS w, max(n) FILTER (WHERE p.own = other) AS n_own,
+    max(total / nullif(n - 1, 0)) FILTER (WHERE p.own = other) AS inside,
+    min(total / n) FILTER (WHERE p.own <> other) AS outside
+  FROM pairs{k} p JOIN sizes{k} s ON s.own = p.other GROUP BY g0, g1, g2)""")
+        rows.append(f"""SELECT CAST({k} AS INTEGER) AS k,
+  (SELECT round(sum(w * error), 6) FROM own{k}) AS inertia,
+  round(sum(w * CASE WHEN n_own = 1 OR greatest(inside, outside) = 0 THEN CAST(0 AS DOUBLE)
+    ELSE (outside - inside) / greatest(inside, outside) END) / sum(w), 9) AS silhouette,
+  '{metric}' AS metric FROM sided{k}""")
+    return f"WITH RECURSIVE {', '.join(parts)}, sweep AS ({' UNION ALL '.join(rows)}) {tail}"
+
+
+SQUARED_GAP = _squared("a.x", "b.x", 3)
+KS = range(2, 11)
+
 ORACLE = {
     "csv_scan": """SELECT CAST(o_custkey AS VARCHAR) AS customer_id,
   o_orderdate AS transaction_date, o_totalprice AS amount FROM orders""",
@@ -282,14 +411,13 @@ WHERE customer_id IS NOT NULL AND transaction_date IS NOT NULL AND amount IS NOT
   amount FROM tx WHERE {IN_FULL_RANGE}""",
     "segments_placeholder": f"""WITH {EVENTS} SELECT customer_id, transaction_date,
   amount, '—' AS "cluster", '—' AS "Segment_label" FROM tx""",
-    "attach_segments": f"""WITH {TX}, {SEGMENTS} SELECT customer_id, transaction_date,
+    "attach_segments": f"""WITH {TX}, {SEGMENTS_IN_CREDIT} SELECT customer_id, transaction_date,
   amount, "cluster", "Segment_label"
 FROM tx LEFT JOIN seg USING (customer_id)""",
     "dedup_segments": """SELECT o_custkey AS customer_id,
   CAST(substr(min(o_orderpriority), 1, 1) AS INTEGER) AS "cluster",
   min(o_orderpriority) AS "Segment_label" FROM orders GROUP BY o_custkey""",
-    "segments_distinct": """SELECT DISTINCT c_mktsegment AS "Segment_label" FROM customer
-WHERE c_acctbal >= 0""",
+    "segments_distinct": """SELECT DISTINCT c_mktsegment AS "Segment_label" FROM customer""",
     "segment_customers": f"""WITH {SEGMENTS}
 SELECT * FROM seg WHERE "Segment_label" = '{CHOSEN_SEGMENT}'""",
     "recommendations": f"""WITH {SEGMENTS}, texts AS (
@@ -377,6 +505,36 @@ SELECT customer_id, "R_weighted", "F_weighted", "M_weighted", "FM_weighted",
     / (max(monetary) OVER () - min(monetary) OVER ()), 9) AS monetary FROM rfm""",
     "kmeans_assign": f"""WITH {SCALED}
 SELECT customer_id, {_nearest(["x0", "x1", "x2"], METRIC_CENTRES)} AS "cluster" FROM scaled""",
+    "kmeans_segments": f"""WITH RECURSIVE {RFM}, {METRIC_GRID}, {kmeans_cte("km", "pts", K, 3)},
+{nearest_cte("owned", "km", 3)}
+SELECT customer_id, recency, frequency, monetary, CAST(own AS INTEGER) AS "cluster"
+FROM pts_rows JOIN owned USING (g0, g1, g2)""",
+    "hierarchical": f"""WITH RECURSIVE {RFM}, {METRIC_GRID}, {tree_cte("tree", "pts", K, 3)}
+SELECT customer_id, recency, frequency, monetary, CAST(number AS INTEGER) AS "cluster"
+FROM pts_rows JOIN tree USING (g0, g1, g2)""",
+    "auto_k": sweep_sql(
+        f"{RFM}, {METRIC_GRID}", KS, f"({SQUARED_GAP})", "squared_euclidean", "SELECT * FROM sweep"
+    ),
+    "auto_k_scores": sweep_sql(
+        f"{SCORES}, {SCORE_GRID}", KS, f"sqrt({SQUARED_GAP})", "euclidean", "SELECT * FROM sweep"
+    ),
+    "best_k": sweep_sql(
+        f"{SCORES}, {SCORE_GRID}", KS, f"sqrt({SQUARED_GAP})", "euclidean",
+        "SELECT k, silhouette FROM sweep ORDER BY silhouette DESC, k LIMIT 1",
+    ),
+    "segment_settings": sweep_sql(
+        f"{SCORES}, {SCORE_GRID}, {tree_cte('tree3', 'pts', 3, 3)}, {tree_cte('tree4', 'pts', 4, 3)}, {tree_cte('tree5', 'pts', 5, 3)}",
+        range(3, 6), f"sqrt({SQUARED_GAP})", "euclidean",
+        """, best AS (SELECT k FROM sweep ORDER BY silhouette DESC, k LIMIT 1)
+SELECT customer_id, CAST(CASE (SELECT k FROM best) WHEN 3 THEN tree3.number
+  WHEN 4 THEN tree4.number ELSE tree5.number END AS INTEGER) AS "cluster"
+FROM pts_rows JOIN tree3 USING (g0, g1, g2) JOIN tree4 USING (g0, g1, g2) JOIN tree5 USING (g0, g1, g2)""",
+    ),
+    "segment_export": f"""WITH {RFM}, {SEGMENTS}
+SELECT CAST(customer_id AS VARCHAR) AS customer_id, CAST("cluster" AS VARCHAR) AS "cluster",
+  "Segment_label", CAST(recency AS VARCHAR) AS recency, CAST(frequency AS VARCHAR) AS frequency,
+  CAST(CAST(monetary AS BIGINT) AS VARCHAR) AS monetary
+FROM seg LEFT JOIN rfm USING (customer_id) WHERE "Segment_label" = '{CHOSEN_SEGMENT}'""",
     "dbscan": DBSCAN_SQL,
     "silhouette": _silhouette(
         f"""{SCORES}, points AS (SELECT customer_id AS id, "R_score" AS r, "F_score" AS f,

@@ -13,7 +13,7 @@ from patronmap.plans.clusters import segment
 from patronmap.plans.report import build_report
 from patronmap.schema import AMOUNT, CLUSTER, CUSTOMER, DATE, LABEL, RFM_METRICS, SCORES
 from patronmap.settings import DBSCAN, HIERARCHICAL, KMEANS, MINMAX_SCALER, STANDARD_SCALER
-from patronmap.settings import AutoK, SegmentRules, Settings, Weights
+from patronmap.settings import SegmentRules, Settings, Weights
 from patronmap.sources import delimited, mapping, results
 from patronmap.storage import fresh_path, store
 from workload import tables as t
@@ -155,7 +155,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attach_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = t.segments(spark, sf_dir)
+    known = t.segments_in_credit(spark, sf_dir)
     return segments.attach_segments(_orders(spark, sf_dir), known)
 
 
@@ -255,8 +255,7 @@ def month_segment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def month_segment_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    return growth.month_label(growth.month_segment_wide(_activity(spark, sf_dir, "M"), names))
+    return growth.month_label(growth.month_segment_wide(_activity(spark, sf_dir, "M")))
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -389,19 +388,47 @@ def silhouette_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one_value(spark, SQUARED_EUCLIDEAN, value)
 
 
+def _sweep(df: DataFrame) -> DataFrame:
+    return _rounded(_rounded(df, "silhouette"), "inertia", digits=6)
+
+
 def auto_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.auto_k(_metrics(spark, sf_dir), metric=SQUARED_EUCLIDEAN)
+    return _sweep(clustering.auto_k(_metrics(spark, sf_dir)))
 
 
 def auto_k_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sweep on scores, with the exact Euclidean silhouette."""
     scores = store(_scores(spark, sf_dir), "scores")
-    return clustering.auto_k(scores, SCORES, MINMAX_SCALER, AutoK(2, 6))
+    return _sweep(clustering.auto_k(scores, SCORES, MINMAX_SCALER))
 
 
 def best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = store(_scores(spark, sf_dir), "scores")
-    return clustering.best_k(clustering.auto_k(scores, SCORES, ks=AutoK(2, 6)))
+    return _rounded(clustering.best_k(clustering.auto_k(scores, SCORES, MINMAX_SCALER)), "silhouette")
+
+
+def segment_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Algorithm, scaler and the range of k come from stored settings."""
+    given = {
+        "default_scaler": MINMAX_SCALER,
+        "segmentation_default_algorithm": "Hierarchical (Agglomerative)",
+        "auto_k": {"k_min": 5, "k_max": 3, "unknown": 1},
+        "unknown": True,
+    }
+    scores = store(_scores(spark, sf_dir), "scores")
+    found = segment(scores, features=SCORES, settings=Settings.from_dict(given))
+    return found.select(CUSTOMER, CLUSTER)
+
+
+def segment_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of one segment with their metrics, as another tool would read them."""
+    folder = fresh_path(spark, "results")
+    whole_cents = _metrics(spark, sf_dir).withColumn("monetary", F.col("monetary").cast("bigint"))
+    results.store_result(whole_cents, folder, "orders", "rfm")
+    metrics = results.stored_result(spark, folder, "orders", "rfm")
+    path = f"{folder}/segment"
+    results.export_segment(t.segments(spark, sf_dir), metrics, CHOSEN_SEGMENT, path)
+    return delimited.scan_delimited(spark, path, ",")
 
 
 QUERIES = {
@@ -461,4 +488,6 @@ QUERIES = {
     "auto_k": auto_k,
     "auto_k_scores": auto_k_scores,
     "best_k": best_k,
+    "segment_settings": segment_settings,
+    "segment_export": segment_export,
 }

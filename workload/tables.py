@@ -84,18 +84,20 @@ def messy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A segment per customer in credit; the others have none."""
-    return (
-        table(spark, sf_dir, "customer")
-        .where(F.col("c_acctbal") >= 0)
-        .select(
-            F.col("c_custkey").alias(CUSTOMER),
-            F.col("c_nationkey").alias(CLUSTER),
-            F.col("c_mktsegment").alias(LABEL),
-        )
+    """A segment per customer."""
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias(CUSTOMER),
+        F.col("c_nationkey").alias(CLUSTER),
+        F.col("c_mktsegment").alias(LABEL),
     )
 
 
+def segments_in_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segment per customer in credit; the others have none, which the join must keep."""
+    in_credit = table(spark, sf_dir, "customer").where(F.col("c_acctbal") >= 0)
+    return segments(spark, sf_dir).join(in_credit, F.col(CUSTOMER) == F.col("c_custkey"), "left_semi")
+
+
 def order_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several segment rows per customer: one per order."""
     return table(spark, sf_dir, "orders").select(
