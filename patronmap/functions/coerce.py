@@ -32,7 +32,8 @@ def as_timestamp(column: Column, dtype: T.DataType, formats: Sequence[str] = ())
     if isinstance(dtype, T.IntegralType):
         return F.timestamp_micros(F.call_function("div", column.cast("bigint"), F.lit(1000)))
     if isinstance(dtype, T.NumericType):
-        return F.timestamp_micros(F.floor(column / 1000).try_cast("bigint"))
+        known = F.when(is_known(column, dtype), F.floor(column / 1000))
+        return F.timestamp_micros(known.try_cast("bigint"))
     if isinstance(dtype, T.TimestampType):
         return column
     if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
