@@ -43,9 +43,9 @@ def counted(buckets, size: int) -> np.ndarray:
 
 
 def unit_roots(counts: np.ndarray) -> np.ndarray:
-    """Square roots of the shares of a row: rows of length one, or zero rows."""
-    total = counts.sum(axis=1, keepdims=True)
-    return np.sqrt(counts / np.maximum(total, 1.0))
+    """Square roots of the shares of a row, in place: rows of length one, or zero rows."""
+    counts /= np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
+    return np.sqrt(counts, out=counts)
 
 
 def sparse(counts: np.ndarray) -> dict[str, bytes]:

@@ -25,10 +25,10 @@ from patronmap.llm import features
 from patronmap.llm.common import fold, inputs, with_text_batches
 
 CHAR_ORDERS = (2, 3)
-CHAR_BITS = 13
-WORD_BITS = 13
+CHAR_BITS = 12
+WORD_BITS = 11
 SIZE = (1 << CHAR_BITS) + 2 * (1 << WORD_BITS)
-MOST_ROWS = 3000
+MOST_ROWS = 2500
 KEEP_ABOVE = 0.5  # probability of label 1
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent
