@@ -129,10 +129,9 @@ def test_hot_value_is_spread_over_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("narrow_above, margin", [(10**9, None), (0, None), (0, -0.05)])
-def test_cuts_follow_the_rank_formula(spark, monkeypatch, narrow_above, margin):
-    """Also where the table is narrowed first, and where the probes miss the ends."""
-    monkeypatch.setattr(ranking, "NARROW_ABOVE", narrow_above)
+@pytest.mark.parametrize("margin", [None, -0.05])
+def test_cuts_follow_the_rank_formula(spark, monkeypatch, margin):
+    """Also where the probes miss the ends."""
     if margin is not None:
         monkeypatch.setattr(ranking, "PROBE_MARGIN", margin)
     rfm = skewed(spark).cache()
@@ -150,7 +149,6 @@ def test_cuts_follow_the_rank_formula(spark, monkeypatch, narrow_above, margin):
 
 
 def test_narrowing_sorts_few_rows(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "NARROW_ABOVE", 0)
     sorted_rows = []
     whole = ranking.checkpoint
 
