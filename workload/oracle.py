@@ -443,6 +443,8 @@ SELECT segment, customers, revenue, revenue / transactions AS avg_order,
 FROM totals""",
     "segment_comparison": f"""WITH {TX}, {SEGMENTS}, {SEGMENT_TOTALS.format(seg="cluster")}
 SELECT *, revenue / transactions AS avg_order FROM totals""",
+    "segment_comparison_order": f"""WITH {TX}, {SEGMENTS}, {SEGMENT_TOTALS.format(seg="cluster")}
+SELECT segment, row_number() OVER (ORDER BY revenue DESC, segment) AS place FROM totals""",
     "report_summary": f"""WITH {EVENTS} SELECT count(*) AS rows,
   count(DISTINCT customer_id) AS customers, CAST(sum(amount) AS DOUBLE) AS revenue,
   CAST(sum(amount) AS DOUBLE) / count(amount) AS avg_order,
@@ -543,6 +545,12 @@ FROM seg LEFT JOIN rfm USING (customer_id) WHERE "Segment_label" = '{CHOSEN_SEGM
         "sqrt((a.r - b.r) * (a.r - b.r) + (a.f - b.f) * (a.f - b.f) + (a.m - b.m) * (a.m - b.m))",
         "euclidean",
     ),
+    "silhouette_blocks": _silhouette(
+        f"""{SCALED}, points AS (SELECT customer_id AS id, x0, x1, x2,
+    {_nearest(["x0", "x1", "x2"], METRIC_CENTRES)} AS c FROM scaled)""",
+        f"sqrt({SQUARED_GAP})",
+        "euclidean",
+    ),
     "silhouette_squared": _silhouette(
         f"""{SCALED}, points AS (SELECT customer_id AS id, x0, x1, x2,
     {_nearest(["x0", "x1", "x2"], METRIC_CENTRES)} AS c FROM scaled)""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patronmap.operators import cleaning, clustering, growth, report, rfm, segments, trends
@@ -229,6 +229,14 @@ def segment_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.segment_comparison(totals, CLUSTER)
 
 
+def segment_comparison_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every segment in the sorted comparison, as its rows come."""
+    totals = trends.segment_totals(_activity(spark, sf_dir, None), CLUSTER)
+    come = trends.segment_comparison(totals, CLUSTER).withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_at"))
+    return come.select("segment", place.cast("bigint").alias("place"))
+
+
 def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = build_report(
         spark,
@@ -381,6 +389,13 @@ def silhouette_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one_value(spark, EUCLIDEAN, silhouette(assigned, SCORES))
 
 
+def silhouette_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact, over all pairs of customers, in several blocks."""
+    scaled = clustering.scaled_table(_metrics(spark, sf_dir), RFM_METRICS)
+    assigned = clustering.assign_nearest(scaled, RFM_METRICS, METRIC_CENTRES)
+    return _one_value(spark, EUCLIDEAN, silhouette(assigned, RFM_METRICS, block_points=256))
+
+
 def silhouette_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = clustering.scaled_table(_metrics(spark, sf_dir), RFM_METRICS)
     assigned = clustering.assign_nearest(scaled, RFM_METRICS, METRIC_CENTRES)
@@ -461,6 +476,7 @@ QUERIES = {
     "segment_trend": segment_trend,
     "segment_share": segment_share,
     "segment_comparison": segment_comparison,
+    "segment_comparison_order": segment_comparison_order,
     "report_summary": report_summary,
     "report_insights": report_insights,
     "month_segment_matrix": month_segment_matrix,
@@ -484,6 +500,7 @@ QUERIES = {
     "hierarchical": hierarchical,
     "dbscan": dbscan_segments,
     "silhouette": silhouette_euclidean,
+    "silhouette_blocks": silhouette_blocks,
     "silhouette_squared": silhouette_squared,
     "auto_k": auto_k,
     "auto_k_scores": auto_k_scores,
