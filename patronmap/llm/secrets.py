@@ -13,9 +13,10 @@ numbers, network addresses, dates, paths, placeholders and plain words), and the
 sees no rule, generalises to the rest. At most `per_label` findings of either label, those whose
 ids hash smallest, are used. The dictionary is the whole words of an installed vocabulary.
 
-Defined cases: a null or empty text has no candidate; without findings of both labels the
-score is that of the one label (0 without any); repeated rows give the same findings for
-each; a null path has no path features; an empty table gives no rows. Offsets count code
+Defined cases: a null or empty text has no candidate; with fewer than `LEAST_FINDINGS` of
+either label there is nothing to learn from, and the score is the label, or a half where there
+is none; repeated rows give the same findings for each; a null path has no path features; an
+empty table gives no rows. Offsets count code
 points. Candidates longer than `LONGEST` code points are described by their whole text and
 have the patterns' label only if it decides.
 """
@@ -45,6 +46,7 @@ LONGEST = 4096
 LEAST_LENGTH = 12  # of a candidate that only has a digit
 PER_LABEL = 1500
 TREES, DEPTH, SEED = 30, 8, 5
+LEAST_FINDINGS = 20
 IS_SECRET = 0.5
 NEIGHBOURS = 8  # buckets of either neighbouring word
 MARK = "<SECRET>"
@@ -204,26 +206,31 @@ def find(rows: DataFrame, dictionary_path: str) -> DataFrame:
 
 
 def fit_forest(findings: DataFrame, per_label: int = PER_LABEL):
-    """A forest from (key, start, label, features); None without both labels, with the only label."""
+    """A forest from (key, start, label, features), or None with too few findings.
+
+    The labels weigh the same, however many findings they have.
+    """
     known = findings.where("label is not null and features is not null")
     sample = sample_by_hash(known, "label", "key", per_label)
-    seen = sorted(r["label"] for r in sample.select("label").distinct().collect())
-    if len(seen) < 2:
-        return None, float(seen[0]) if seen else 0.0
     # Bounded, in one partition and in order, so that the draws of the forest are the same each time.
     one = store(sample.select("key", "start", F.col("label").cast("double"), "features"), "findings")
+    n = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
+    if len(n) < 2 or min(n.values()) < LEAST_FINDINGS:
+        return None
     one = one.orderBy("label", F.xxhash64("key"), "key", "start").coalesce(1)
-    one = one.select("label", array_to_vector("features").alias("vector"))
+    weight = F.when(F.col("label") == 1.0, 0.5 / n[1.0]).otherwise(0.5 / n[0.0]) * sum(n.values())
+    one = one.select("label", weight.alias("weight"), array_to_vector("features").alias("vector"))
     forest = RandomForestClassifier(
-        featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="shares"
-    )
-    return forest.fit(one), 0.0
+        featuresCol="vector", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED,
+        probabilityCol="shares",
+    )
+    return forest.fit(one)
 
 
-def classify(found: DataFrame, model, otherwise: float) -> DataFrame:
+def classify(found: DataFrame, model) -> DataFrame:
     """Add score and is_secret, drop the features."""
     if model is None:
-        scored = found.withColumn("score", F.lit(otherwise))
+        scored = found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(0.5)))
     else:
         scored = model.transform(found.withColumn("vector", array_to_vector("features")))
         scored = scored.withColumn("score", vector_to_array("shares")[1])
@@ -257,8 +264,8 @@ def scan(
         found = found.drop("label").join(given, ["doc_id", "start"], "left")
     found = found.withColumn("held_out", is_fold(F.col("doc_id"), folds, held_out))
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_key").cast("string"), F.col("start").cast("string"))
-    model, otherwise = fit_forest(found.where(~F.col("held_out")).withColumn("key", key), per_label)
-    return classify(found, model, otherwise).select(
+    model = fit_forest(found.where(~F.col("held_out")).withColumn("key", key), per_label)
+    return classify(found, model).select(
         "doc_id", "text_key", "start", "length", "rule", "label", "held_out", "score", "is_secret"
     )
 
