@@ -160,7 +160,7 @@ def build_tree(levels: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, co
         ids.setdefault((int(levels[e]), int(contexts[e])), len(ids))
     dead = len(ids)
     step = np.full((dead + 1, len(used) + 1), dead, dtype=np.int32)
-    shares = np.zeros((dead, len(used) + 1))
+    shares = np.zeros((dead, len(used) + 1), dtype=np.float32)
     shares[0] = np.concatenate([np.full(len(used), ROOT_PRIOR), [ROOT_PRIOR * unseen]]) / (256 * ROOT_PRIOR)
     for e, f in zip(edge, ends):
         level, context = int(levels[e]), int(contexts[e])
@@ -178,7 +178,7 @@ def build_tree(levels: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, co
         shares[:, -1] /= unseen  # of one of them
     else:
         shares[:, -1] = 1.0
-    return SuffixTree(step, column, np.log10(shares).astype(np.float32))
+    return SuffixTree(step, column, np.log10(shares, out=shares))
 
 
 def kept_contexts(counts: DataFrame, least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN) -> DataFrame:
@@ -211,8 +211,8 @@ def kept_contexts(counts: DataFrame, least_share: float = LEAST_SHARE, least_gai
 
 
 def fit_tree(counts: DataFrame) -> SuffixTree:
-    rows = kept_contexts(counts).toPandas()  # bounded by the number of contexts that can be kept
-    return build_tree(*(rows[c].to_numpy(np.int64) for c in ("level", "context", "symbol", "n")))
+    rows = kept_contexts(counts).toArrow()  # bounded by the number of contexts that can be kept
+    return build_tree(*(rows[c].to_numpy() for c in ("level", "context", "symbol", "n")))
 
 
 def score_documents(
@@ -232,8 +232,10 @@ def score_documents(
     tree = fit_tree(counts.where("kind = 1").select("key", "n"))
     floor = math.log10(tokens + 0.1 * (distinct + 1))
     short = words.where(F.octet_length("word") <= HOT_BYTES)
-    hot = short.orderBy(F.desc("c"), "word").limit(hot_words).toPandas()  # at most hot_words of HOT_BYTES
-    known = dict(zip(map(bytes, hot["word"]), (np.log10(hot["c"].to_numpy(np.float64) + 0.1) - floor).tolist()))
+    hot = short.orderBy(F.desc("c"), "word").limit(hot_words).toArrow()  # at most hot_words of HOT_BYTES
+    logs = np.log10(hot["c"].to_numpy().astype(np.float64) + 0.1) - floor
+    known = dict(zip(hot["word"].to_pylist(), logs.tolist()))
+    del hot, logs
     shared = spark.sparkContext.broadcast((tree, known))
 
     def work(texts, _):
