@@ -36,8 +36,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+# Rows of an Arrow batch; texts are long, and a task holds a batch several times over.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def inputs(df: DataFrame, **names: str) -> DataFrame:
-    """Only the named columns, under the operator's own names, so that no other column clashes."""
+    """Only the named columns, under the operator's own names, so that no other column clashes.
+
+    Also lowers the session's Arrow batches to `BATCH_ROWS`, if they are larger.
+    """
+    if not 0 < int(df.sparkSession.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     return df.select(*(df[f"`{given}`"].alias(own) for own, given in names.items()))
 
 
@@ -45,16 +55,31 @@ def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
-def text_bytes(texts: pa.Array) -> list[bytes | None]:
-    """The UTF-8 bytes of a text column."""
-    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
+class Texts:
+    """The UTF-8 bytes of a text column; only a few rows at a time become Python objects."""
+
+    ROWS = 64
+
+    def __init__(self, texts: pa.Array):
+        large = pa.types.is_large_string(texts.type)
+        self.array = texts.cast(pa.large_binary() if large else pa.binary())
+
+    def __len__(self) -> int:
+        return len(self.array)
+
+    def __getitem__(self, rows: slice) -> list[bytes | None]:
+        return self.array[rows].to_pylist()
+
+    def __iter__(self) -> Iterator[bytes | None]:
+        for start in range(0, len(self), self.ROWS):
+            yield from self[start : start + self.ROWS]
 
 
 def with_text_batches(
     df: DataFrame,
     text: str,
     schema: str,
-    work: Callable[[list[bytes | None], pa.RecordBatch], dict[str, pa.Array | np.ndarray | list]],
+    work: Callable[[Texts, pa.RecordBatch], dict[str, pa.Array | np.ndarray | list]],
 ) -> DataFrame:
     """Run `work` on Arrow batches of a frame of a text column and others to keep.
 
@@ -69,7 +94,7 @@ def with_text_batches(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            made = work(text_bytes(batch.column(text)), batch)
+            made = work(Texts(batch.column(text)), batch)
             arrays = [batch.column(c) for c in kept]
             arrays += [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *made])

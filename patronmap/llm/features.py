@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 
 SLICE = 1 << 20  # code points or words hashed at a time
-ROWS = 256  # texts whose counts are held at a time
+ROWS = 64  # texts whose counts are held at a time
 # Fixed odd multipliers of the hashes; any would do.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 

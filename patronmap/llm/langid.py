@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronmap.llm import features
-from patronmap.llm.common import Batches, inputs, is_fold, sample_by_hash, text_bytes, with_text_batches
+from patronmap.llm.common import Batches, Texts, inputs, is_fold, sample_by_hash, with_text_batches
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -38,7 +38,7 @@ PER_LANGUAGE = 200
 MOST_ROWS = 4000
 SPANS = (60, 300)  # characters
 AMBIGUOUS = 0.1  # least difference of the two best scores
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # letters, and numbers such as a half
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
@@ -60,6 +60,10 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return best
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def gram_counts(text: str) -> np.ndarray:
     return features.counted(features.char_gram_buckets(text.lower(), ORDERS, BITS), 1 << BITS)
 
@@ -112,7 +116,7 @@ def fit_on(rows: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = M
             for k, span in enumerate(SPANS):
                 start = hash((one, k)) % max(1, len(text) - span) if isinstance(one, int) else 0
                 parts.append(text[start : start + span])
-            out["parts"].append([features.sparse(gram_counts(p)) for p in parts if LETTER.search(p)])
+            out["parts"].append([features.sparse(gram_counts(p)) for p in parts if has_letter(p)])
         return {"parts": pa.array(out["parts"], pa.list_(pa.struct([("at", pa.binary()), ("n", pa.binary())])))}
 
     sample = training_rows(rows, per_language, most_rows)
@@ -122,12 +126,12 @@ def fit_on(rows: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = M
     return fit(features.dense([p for p, _ in pairs], 1 << BITS), [lang for _, lang in pairs])
 
 
-def decide(model: LanguageCode, texts: list[bytes | None], ambiguous: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+def decide(model: LanguageCode, texts: Texts, ambiguous: float) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and ambiguity of every text."""
     names, best, unsure = [], [np.empty(0)], [np.empty(0, dtype=bool)]
     for start in range(0, len(texts), features.ROWS):
         part = [t.decode("utf-8", "replace") if t else "" for t in texts[start : start + features.ROWS]]
-        known = np.array([bool(model.languages) and bool(LETTER.search(t)) for t in part])
+        known = np.array([bool(model.languages) and has_letter(t) for t in part])
         counts = np.zeros((len(part), 1 << BITS), np.float32)
         for i in np.flatnonzero(known):
             counts[i] = gram_counts(part[i])
@@ -184,7 +188,7 @@ def accepted_documents(
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            names, _, unsure = decide(shared.value, text_bytes(batch.column(text_col)), ambiguous)
+            names, _, unsure = decide(shared.value, Texts(batch.column(text_col)), ambiguous)
             yield batch.filter(pa.array(~unsure & (np.array(names, dtype=object) != UNKNOWN)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -42,9 +42,9 @@ from patronmap.storage import store
 
 CAPACITY = 2048
 END_ID = 0
-KNOWN_WORDS = 1_500_000  # words whose ids a worker keeps
+KNOWN_WORDS = 500_000  # words whose ids a worker keeps
 LINE_WORDS, LINES = 50, 100  # new words to a line, and lines, that are tokenized together
-BUCKET_ROWS = 5000  # pieces of one length that are ranked together, on average
+BUCKET_ROWS = 500  # pieces of one length that are ranked together, on average
 TEXT_BYTES = 1 << 21  # of texts that are tokenized together, or one longer text
 # A word and signs after it that the tokenizer cuts off: after ASCII letters and those of C3.
 TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:]+)", re.DOTALL)
@@ -284,9 +284,11 @@ def pack(
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     placed, _, _ = plan_rounds(counts, capacity)
 
-    buckets = max(16, -(-sum(counts.values()) // BUCKET_ROWS))
     order = ["doc_id", "piece", "start", "ids_crc32"]
-    numbered = pieces.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    # A length has as many buckets as its pieces need; capacity rows at most.
+    needed = [(length, -(-n // BUCKET_ROWS)) for length, n in counts.items()]
+    buckets = F.broadcast(docs.sparkSession.createDataFrame(needed, "length bigint, buckets bigint"))
+    numbered = pieces.join(buckets, "length").withColumn("bucket", F.pmod(F.xxhash64(*order), "buckets"))
     earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = numbered.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sums.select("length", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

@@ -18,7 +18,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, g, "s", "x", "y", 3) for i, t, g in rows], SCHEMA)
 
 
-ODD = [(9001, None, "en"), (9002, "", "en"), (9003, "123 !? %%", "de"), (9004, "é", None), (None, "the and of", "en")]
+ODD = [(9001, None, "en"), (9002, "", "en"), (9003, "123 !? %% ² ½", "de"), (9004, "é", None), (None, "the and of", "en")]
 
 
 # Features
@@ -246,6 +246,6 @@ def test_redaction_and_tables_without_secrets(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert out.count() == df.count()
     assert got[5].text == f"é password={secrets.MARK} and {secrets.MARK} card 4417123456000005 end"
-    assert got[5].n_chars == len(got[5].text) and got[9001].text is None and got[9003].text == "123 !? %%"
+    assert got[5].n_chars == len(got[5].text) and got[9001].text is None and got[9003].text == ODD[2][1]
     plain = secrets.scan(df.where("doc_id > 9000"))
     assert plain.collect() == [] and secrets.scan(df.limit(0)).collect() == []
