@@ -38,7 +38,8 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 SEED = 20240607
 ROUNDS = 12
-BUCKET_ROWS = 5000  # rows in a bucket of the two-level prefix sums, on average
+TASK_SLOTS = 100_000  # slots that become rows in one task, on average
+BUCKET_ROWS = 500  # rows in a bucket of the two-level prefix sums, on average
 
 
 @dataclass(frozen=True)
@@ -100,7 +101,8 @@ def source_targets(
     found = F.min(F.when(F.col("try") <= F.col("ratio"), F.struct("ratio", "s", "try"))).over(all_rows)
     level = levels.withColumn("level", found["try"])
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
-    return level.select("source", "s", "source_size", "weight", target.alias("target"))
+    others = [c for c in sizes.columns if c not in ("source", "source_size")]
+    return level.select("source", "s", "source_size", "weight", target.alias("target"), *others)
 
 
 def permuted(index: Column, length: Column, *key: Column, rounds: int = ROUNDS) -> Column:
@@ -140,20 +142,20 @@ def mix(
     )
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     per_source = store(per_source, "sizes")
-    n_docs = per_source.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
     blocks = F.ceil(F.col("source_size") / block_words)
     wanted = F.rint(F.col("target") * F.col("blocks") / F.col("source_size")).cast("bigint")
     sources = store(
-        source_targets(per_source.drop("docs"), weights, share, most_times)
+        source_targets(per_source, weights, share, most_times)
         .withColumn("blocks", blocks)
         .withColumn("quota", F.when(F.col("source_size") > 0, F.least(wanted, most_times * F.col("blocks"))).otherwise(0)),
         "sources",
     )
 
-    buckets = max(16, -(-n_docs // BUCKET_ROWS))
-    numbered = sized.join(sources.select("source", "s"), sized["source"].eqNullSafe(sources["source"])).select(
+    # A source has as many buckets as its documents need.
+    named = sources.select("source", "s", F.ceil(F.col("docs") / BUCKET_ROWS).alias("buckets"))
+    numbered = sized.join(named, sized["source"].eqNullSafe(named["source"])).select(
         "s", sized["source"], "doc_id", "size", "text_key",
-        F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed)), F.lit(buckets)).alias("bucket"),
+        F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed)), "buckets").alias("bucket"),
     )
     order = [F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "text_key"]
     rows = running_total(numbered, "s", "bucket", order, F.col("size"), "start")
@@ -208,7 +210,7 @@ def _slots(spark, sources: DataFrame, most_times: int, shard_slots: int, seed: i
         .withColumn("begin", F.col("begin") + F.col("cut") * shard_slots)
         .withColumn("end", F.least("end", F.col("begin") + shard_slots))
         .where("begin < end")
-        .repartition("shard", "s", "cut")
+        .repartition(max(1, -(-n_slots // TASK_SLOTS)), "shard", "s", "cut")
     )
     numbers = cut.select("shard", "s", "blocks", F.explode(F.expr("sequence(begin, end - 1)")).alias("number"))
     turn = F.expr("number div blocks")
