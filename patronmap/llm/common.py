@@ -105,17 +105,22 @@ def with_text_batches(
 def sample_by_hash(df: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
     """At most `per_label` rows of each label, those whose keys hash smallest.
 
-    Which rows are taken depends on the keys alone. Every task keeps `per_label` rows of a
-    label before the shuffle, so a label that a third of all rows have is no hot group.
+    Which rows are taken depends on the keys alone. A label's rows are first thinned by hash
+    to a few times `per_label`, from its number of rows, so no task sorts more than that.
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    return (
-        df.withColumn("_place", F.row_number().over(order))
-        .where(F.col("_place") <= per_label)
-        .drop("_place")
+    counts = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    place = F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53)
+    thin = (
+        df.join(F.broadcast(counts), df[label] == counts["_label"])  # a row per label
+        .withColumn("_hash", place)
+        .where(F.col("_hash") * F.col("_n") <= 2 * per_label + 100)
+        .drop("_n", "_label")
     )
+    order = Window.partitionBy(label).orderBy("_hash", key)
+    ranked = thin.withColumn("_place", F.row_number().over(order))
+    return ranked.where(F.col("_place") <= per_label).drop("_place", "_hash")
 
 
 def tokenizer_path(name: str) -> str:
