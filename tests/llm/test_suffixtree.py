@@ -87,6 +87,33 @@ def test_tree_equals_brute_force_counts(spark):
     assert fast == pytest.approx([slow_score(None, tree, t) for t in some], rel=1e-6)
 
 
+def test_scores_do_not_depend_on_which_contexts_are_broadcast(spark):
+    words = ["cat", "dog", "tree", "é", "漢字", "house", "mat", "zebra"]
+    rows = [(i, " ".join(words[(i * k + k) % (3 + i % 6)] for k in range(30))) for i in range(200)]
+    rows += [(300, None), (301, "unseen ~bytes^ catdog"), (None, "cat dog"), (302, "cat " * 500)]
+    whole, *others = (
+        sorted(((str(r.doc_id), r.score) for r in suffixtree.score_documents(frame(spark, rows), hot_contexts=n).collect()))
+        for n in (10**6, 0, 30, 200)
+    )
+    for found in others:
+        assert [i for i, _ in found] == [i for i, _ in whole]
+        assert [s for _, s in found] == pytest.approx([s for _, s in whole], rel=1e-5)
+
+
+def test_contexts_stay_when_other_texts_dominate(spark):
+    rare = ["qoph qaph qoph"] * 8
+    texts = rare + ["the cat sat on the mat " * 10000] * 40  # 9,200,000 positions, of which a share of 2e-6 are 18
+    counts = suffixtree.store(suffixtree.corpus_counts(spark.createDataFrame([(t,) for t in texts], "text string")))
+    rows = suffixtree.kept_contexts(counts.where("kind = 1").select("key", "n")).collect()
+    kept = {r.context.to_bytes(8, "little")[: r.level][::-1] for r in rows}
+    few = suffixtree.store(suffixtree.corpus_counts(spark.createDataFrame([(t,) for t in rare + ["the cat sat on the mat"] * 40], "text string")))
+    alone = {
+        r.context.to_bytes(8, "little")[: r.level][::-1]
+        for r in suffixtree.kept_contexts(few.where("kind = 1").select("key", "n")).collect()
+    }
+    assert b"qa" in kept and {c for c in alone if b"q" in c} <= kept
+
+
 def test_scores_beat_the_base_on_held_out_texts(spark):
     found = suffixtree.score_documents(spark.read.parquet(f"{SF}/documents.parquet"))
     held = found.where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
