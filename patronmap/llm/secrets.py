@@ -14,8 +14,8 @@ sees no rule, generalises to the rest. At most `per_label` findings of either la
 ids hash smallest, are used. The dictionary is the whole words of an installed vocabulary.
 
 Defined cases: a null or empty text has no candidate; with fewer than `LEAST_FINDINGS` of
-either label there is nothing to learn from, and the score is the label, or a half where there
-is none; repeated rows give the same findings for each; a null path has no path features; an
+either label there is nothing to learn from, and the score is the label, or 0 (no secret) where
+there is none; repeated rows give the same findings for each; a null path has no path features; an
 empty table gives no rows. Offsets count code
 points. Candidates longer than `LONGEST` code points are described by their whole text and
 have the patterns' label only if it decides.
@@ -230,7 +230,7 @@ def fit_forest(findings: DataFrame, per_label: int = PER_LABEL):
 def classify(found: DataFrame, model) -> DataFrame:
     """Add score and is_secret, drop the features."""
     if model is None:
-        scored = found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(0.5)))
+        scored = found.withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(0.0)))
     else:
         scored = model.transform(found.withColumn("vector", array_to_vector("features")))
         scored = scored.withColumn("score", vector_to_array("shares")[1])

@@ -237,6 +237,15 @@ def test_forest_removes_false_positives(spark):
     assert all(r.is_secret == (r.rule != "assigned") for r in turned if r.held_out and r.label is not None)
 
 
+def test_undecided_runs_stay_where_secrets_are_few(spark):
+    undecided = ["8.252.9.145$$$", "152.143.123.131###", "4785380592391139$$$"]
+    rows = [(i, f"some words {u} end", "en") for i, u in enumerate(undecided)] + [(8, "token=b7db7aa4a5fcc78305 end", "en")]
+    df = frame(spark, rows)
+    assert {(r.label, r.score, r.is_secret) for r in secrets.scan(df).collect()} == {(None, 0.0, False), (1, 1.0, True)}
+    got = {r.doc_id: r.text for r in secrets.redacted_documents(df).collect()}
+    assert got == {i: t for i, t, _ in rows[:3]} | {8: f"token={secrets.MARK} end"}
+
+
 def test_redaction_and_tables_without_secrets(spark):
     rows = [(i, f"é password=ab{i:03d}cd9ef77 and AKIAABCDEFGH1234{i:04d} card 4417123456{i:06d} end", "en") for i in range(60)]
     df = spark.createDataFrame([(i, t, g, "s", len(t)) for i, t, g in [*rows, rows[0], *ODD[:3]] if t is not None] + [(9001, None, "en", None, None)],
