@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are values assigned to a name such as password or token, strings in a provider's
-format, private key blocks, and any other long run of characters with a digit. Each is
+Candidates are strings in a provider's format anywhere in a text (in JSON, CSV, an address),
+values assigned to a name such as password or token, private key blocks, and any other long run of characters with a digit. Each is
 described by its length, character classes and the transitions between them, entropy, how
 much of it dictionary words cover, whether it looks like a path, the path of its document, and
 the words beside it. A random forest, fitted on labelled findings, then says how likely the
@@ -44,6 +44,7 @@ DICTIONARY = "word_bpe_49k.json"
 LEAST_LETTERS = 4  # of a dictionary word
 LONGEST = 4096
 LEAST_LENGTH = 12  # of a candidate that only has a digit
+LEAST_ASSIGNED = 6
 PER_LABEL = 1500
 TREES, DEPTH, SEED = 30, 8, 5
 LEAST_FINDINGS = 20
@@ -55,8 +56,11 @@ MARK = "<SECRET>"
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "credential", "auth")
 PROVIDERS = re.compile(
     r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|glpat-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}"
-    r"|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|npm_[0-9A-Za-z]{36}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]*)"
+    r"|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|npm_[0-9A-Za-z]{36}|(?<![_-])eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]*)"
 )
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xox", "sk_live_", "AIza", "npm_", "eyJ")
+# Inside a text a key begins after no letter or digit, but those of an escaped character, and ends before none.
+KEY = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=\\[nrt])|(?<=%[0-9A-Fa-f]{2}))" + PROVIDERS.pattern + r"(?![0-9A-Za-z])")
 PLACEHOLDERS = ("example", "changeme", "placeholder", "dummy", "sample", "xxxx", "your_", "<", "${", "****")
 
 ASSIGNED = re.compile(r"(?i:" + "|".join(NAMES) + r")[\w-]{0,20}[\"']?\s{0,3}[:=]\s{0,3}([\"']?)([^\s\"',;]{6,})")
@@ -82,34 +86,52 @@ def dictionary(path: str) -> frozenset[str]:
     return frozenset(w for w in ends if len(w) >= LEAST_LETTERS and w.isascii() and w.isalpha())
 
 
+class Spans(list):
+    """(start, end, rule), in order and apart."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        super().__init__(sorted(spans))
+        self.ends = [end for _, end, _ in self]
+
+    def outside(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The parts of a stretch of text that no span covers."""
+        parts = []
+        for at in range(bisect.bisect_right(self.ends, start), len(self)):
+            if self[at][0] >= end:
+                break
+            if self[at][0] > start:
+                parts.append((start, self[at][0]))
+            start = self[at][1]
+        return parts + [(start, end)] if start < end else parts
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of the candidates, in order and apart."""
-    strong: list[tuple[int, int, str]] = []
-    if "PRIVATE KEY-----" in text:
-        strong += [(*m.span(), "key_block") for m in KEY_BLOCK.finditer(text)]
+    """(start, end, rule) of the candidates, in order and apart.
+
+    Key blocks come first, then keys of providers wherever they stand, then what is left of
+    assigned values, then what is left of runs.
+    """
+    found = Spans([(*m.span(), "key_block") for m in KEY_BLOCK.finditer(text)] if "PRIVATE KEY-----" in text else [])
+    if any(prefix in text for prefix in PREFIXES):
+        keys = [m.span() for m in KEY.finditer(text)]
+        found = Spans(found + [(*span, "provider") for span in keys if found.outside(*span) == [span]])
     low = text.lower()
     if any(name in low for name in NAMES):
-        for m in ASSIGNED.finditer(text):
-            strong.append((*m.span(2), "provider" if PROVIDERS.fullmatch(m[2]) else "assigned"))
-    found: list[tuple[int, int, str]] = []
-    for span in sorted(strong, key=lambda f: (f[0], f[2] != "key_block")):
-        if not found or span[0] >= found[-1][1]:
-            found.append(span)
-    starts, ends = [f[0] for f in found], [f[1] for f in found]
+        parts = [part for m in ASSIGNED.finditer(text) for part in found.outside(*m.span(2))]
+        found = Spans(found + [(start, end, "assigned") for start, end in parts if end - start >= LEAST_ASSIGNED])
+    runs: list[tuple[int, int, str]] = []
     at = 0
     while (digit := DIGIT.search(text, at)) is not None:
         start = max(at, *(text.rfind(space, at, digit.start()) + 1 for space in " \n\t\r"))
         run = RUN.search(text, start)
         at = run.end()
-        part = run.group()
-        left = len(part) - len(part.lstrip(EDGES))
-        part = part.strip(EDGES)
-        begin = run.start() + left
-        end = begin + len(part)
-        apart = bisect.bisect_left(starts, end) == bisect.bisect_right(ends, begin)
-        if len(part) >= LEAST_LENGTH and apart:
-            found.append((begin, end, "provider" if PROVIDERS.fullmatch(part) else "run"))
-    return sorted(found)
+        for start, end in found.outside(*run.span()):
+            part = text[start:end]
+            begin = start + len(part) - len(part.lstrip(EDGES))
+            part = part.strip(EDGES)
+            if len(part) >= LEAST_LENGTH and DIGIT.search(part):
+                runs.append((begin, begin + len(part), "run"))
+    return sorted(found + runs)
 
 
 def entropy(value: str) -> float:
