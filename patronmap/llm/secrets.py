@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Candidates are strings in a provider's format anywhere in a text (in JSON, CSV, an address),
-values assigned to a name such as password or token, private key blocks, and any other long run of characters with a digit. Each is
-described by its length, character classes and the transitions between them, entropy, how
+values assigned to a name such as password or token, private key blocks, and any other long
+run of characters with a digit. Each is described by its length, character classes and the transitions between them, entropy, how
 much of it dictionary words cover, whether it looks like a path, the path of its document, and
 the words beside it. A random forest, fitted on labelled findings, then says how likely the
 candidate is a secret; the others are false positives.
@@ -17,8 +17,7 @@ Defined cases: a null or empty text has no candidate; with fewer than `LEAST_FIN
 either label there is nothing to learn from, and the score is the label, or 0 (no secret) where
 there is none; repeated rows give the same findings for each; a null path has no path features; an
 empty table gives no rows. Offsets count code
-points. Candidates longer than `LONGEST` code points are described by their whole text and
-have the patterns' label only if it decides.
+points. Long candidates are described by their whole text, as short ones are.
 """
 
 from __future__ import annotations
@@ -42,7 +41,6 @@ from patronmap.storage import store
 
 DICTIONARY = "word_bpe_49k.json"
 LEAST_LETTERS = 4  # of a dictionary word
-LONGEST = 4096
 LEAST_LENGTH = 12  # of a candidate that only has a digit
 LEAST_ASSIGNED = 6
 PER_LABEL = 1500
@@ -156,7 +154,7 @@ def rule_label(value: str, rule: str) -> int | None:
 def coverage(value: str, words: frozenset[str]) -> float:
     """The share of characters in dictionary words, longest first from the left."""
     covered = 0
-    for run in LETTERS.findall(value[:LONGEST].lower()):
+    for run in LETTERS.findall(value.lower()):
         at = 0
         while at <= len(run) - LEAST_LETTERS:
             for end in range(min(len(run), at + 16), at + LEAST_LETTERS - 1, -1):
@@ -166,7 +164,7 @@ def coverage(value: str, words: frozenset[str]) -> float:
                     break
             else:
                 at += 1
-    return covered / max(1, min(len(value), LONGEST))
+    return covered / max(1, len(value))
 
 
 def _kind(ch: str) -> int:
@@ -182,7 +180,7 @@ def _neighbour(word: str) -> list[float]:
 
 def describe(text: str, start: int, end: int, path: str | None, words: frozenset[str]) -> list[float]:
     value, n = text[start:end], end - start
-    kinds = [_kind(c) for c in value[:LONGEST]]
+    kinds = [_kind(c) for c in value]
     shares = [kinds.count(k) / len(kinds) for k in range(4)]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(kinds) - 1)
     letters = max((len(x) for x in LETTERS.findall(value)), default=0)
@@ -191,8 +189,8 @@ def describe(text: str, start: int, end: int, path: str | None, words: frozenset
     left, right = LETTERS.findall(before.lower()), LETTERS.findall(after.lower())
     where = (path or "").lower()
     return [
-        float(min(n, LONGEST)), math.log2(1 + n), changes, *shares,
-        len(set(value)) / n, entropy(value[:LONGEST]),
+        float(n), math.log2(1 + n), changes, *shares,
+        len(set(value)) / n, entropy(value),
         float(all(c in "0123456789abcdef" for c in value.lower())), float(value.isdigit()),
         coverage(value, words), letters / n,
         float(value.count("/")), float(value.count(".")), float("@" in value), float(bool(PATHLIKE.fullmatch(value))),

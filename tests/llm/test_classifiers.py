@@ -237,6 +237,14 @@ def test_rules_and_features():
     assert described[0] == 12 and described[2] == pytest.approx(2 / 11)
 
 
+def test_long_candidates_are_described_whole():
+    words = frozenset({"password"})
+    value = "1" * 5000 + "password" * 625
+    described = secrets.describe(value, 0, len(value), None, words)
+    assert described[0] == 10000 and described[3:5] == [0.5, 0.5]
+    assert described[8] == secrets.entropy(value) and described[11] == secrets.coverage(value, words) == 0.5
+
+
 def test_forest_removes_false_positives(spark):
     draw = random.Random(3)
     rows = []
