@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronmap.llm import langid, mixing, packing, quality, secrets, simhash, suffixtree, topk, toxicity, warc
+from patronmap.llm import langid, mixing, packing, quality, secrets, sentencepieces, simhash, suffixtree, topk, toxicity, warc
 from patronmap.llm.common import table, tokenizer_path
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's pieces, and digest of their decoded text."""
+    return sentencepieces.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
@@ -71,6 +77,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {
