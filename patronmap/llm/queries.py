@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patronmap.llm import langid, lexical, mixing, packing, quality, secrets, sentencepieces, simhash, suffixtree, topk, toxicity, warc
+from patronmap.llm import langid, lexical, mixing, packing, prefixtrie, quality, secrets, sentencepieces, simhash, suffixtree, topk, toxicity, warc
 from patronmap.llm.common import table, tokenizer_path
 
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -61,6 +61,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten documents that rank highest for every item of the benchmark."""
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_topk": op10_topk,
+    "op11_trie": op11_trie,
     "op12_lexical": op12_lexical,
     "op13_sentencepiece": op13_sentencepiece,
 }
@@ -111,6 +117,48 @@ ORACLE: dict[str, str] = {
             SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
             FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_trie": r"""
+        WITH RECURSIVE bits(n, k, c) AS (
+            SELECT range, 0, range FROM range(256)
+            UNION ALL
+            SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+        remainders AS (SELECT n, c FROM bits WHERE k = 8),
+        sums(conv_id, s, i, c) AS (
+            SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT)
+            FROM conversations WHERE conv_id IS NOT NULL
+            UNION ALL
+            SELECT conv_id, s, i + 1, xor(m.c, sums.c >> 8)
+            FROM sums JOIN remainders m ON m.n = (xor(sums.c, ascii(s[i + 1])) & 255) WHERE i < length(s)),
+        h AS (SELECT conv_id, xor(c, 4294967295) % 4 AS h FROM sums WHERE i = length(s)),
+        t AS (
+            SELECT conv_id, turn, coalesce(text, '') AS text,
+                   sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+            FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM t),
+        r AS (
+            SELECT h.conv_id, 0 AS part, pos, text, k FROM h JOIN o ON o.conv_id = h.conv_id - h.conv_id % 20 AND pos <= h
+            UNION ALL
+            SELECT h.conv_id, 1, pos, text, k FROM h JOIN o ON o.conv_id = h.conv_id AND pos > h),
+        d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM r),
+        p AS (
+            SELECT conv_id, 0 AS depth, '' AS path, 0 AS words FROM h
+            UNION ALL
+            SELECT conv_id, depth, sha256(string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY depth)),
+                   len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) FROM d),
+        e AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS is_end FROM p),
+        n AS (
+            SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends_sha256
+            FROM e GROUP BY path),
+        up AS (SELECT n.path, p.path AS parent FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+        c AS (SELECT parent AS path, count(*) AS n_children FROM up GROUP BY parent),
+        m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (path)),
+        a AS (
+            SELECT p.path, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved
+            FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.path)
+        SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children,
+               CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+        FROM m JOIN a USING (path) LEFT JOIN up USING (path) LEFT JOIN n q ON q.path = up.parent""",
     "op12_lexical": r"""
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
