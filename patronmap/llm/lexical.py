@@ -12,7 +12,7 @@ task carries that from piece to piece); bounds equal to it are visited, for ties
 stratum whole scores are summed from the postings. The best of all tasks are merged per item.
 Scores are whole numbers: summed as doubles where no sum can reach 2^53, as 64-bit integers else.
 
-Documents are dealt to pieces by length, in classes of at most 1/32 of a doubling, and within a
+Documents are dealt to pieces by bytes, in classes of at most 1/32 of a doubling, and within a
 class at random, so any number of documents of one length is spread. Texts move once. What is
 broadcast are the at most 1,000 classes, and the terms asked for, if the index is made for
 known queries and these are few; the results are the same without.
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronmap.llm.common import Batches, Texts, ascii_lower, inputs
+from patronmap.llm.common import Batches, Texts, ascii_lower, inputs, with_text_batches
 from patronmap.operators.segments import broadcast_if_small
 from patronmap.storage import scratch, store
 
@@ -45,7 +45,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LOWERED = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(256))
 PIECE_TERMS = 1_000_000  # terms of the documents of a piece
 BLOCK_ITEMS = 256  # items of a block, on average
-CLASSES = 32  # classes of lengths to a doubling
+CLASSES = 32  # classes of bytes to a doubling
 WANTED_TERMS, WANTED_BYTES = 500_000, 1 << 25  # most terms that an index is restricted to
 EXACT = float(1 << 53)
 # Impact: (ONE tf) div (1000 tf + SPREAD m); m: LEAST + (SLOPE n N) div L.
@@ -56,8 +56,13 @@ PIECE_SCHEMA = """ids array<bigint>, ms array<bigint>, first_doc array<int>, ter
 PIECE_COLUMNS = ("ids", "ms", "first_doc", "terms", "dfs", "stratum", "term", "tf", "first_posting", "docs")
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """All terms of a text in UTF-8, in order."""
+    return text.translate(LOWERED).split()
+
+
 def terms_of(text: Column) -> Column:
-    """All terms of a text, in order; null for a null text."""
+    """The same for a column; null for a null text."""
     return F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0))
 
 
@@ -161,12 +166,15 @@ def index_documents(
     """
     spark = docs.sparkSession
     rows = inputs(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    rows = rows.withColumn("n", F.regexp_count("text", F.lit(TERM))).where("n > 0")
-    rows = rows.withColumn("class", F.floor(F.log2("n") * CLASSES).cast("int"))
-    classes = rows.groupBy("class").agg(F.count("*").alias("rows"), F.sum("n").alias("terms")).sort("class").collect()
+    size = F.octet_length("text")
+    rows = rows.where(size > 0).withColumn("class", F.floor(F.log2(size) * CLASSES).cast("int"))
+    sizes = with_text_batches(
+        rows.select("class", "text"), "text", "n bigint", lambda texts, _: {"n": pa.array([len(words_of(t)) for t in texts], pa.int64())}
+    )
+    classes = sizes.groupBy("class").agg(F.count_if(F.col("n") > 0).alias("rows"), F.sum("n").alias("terms")).sort("class").collect()
     documents, total = sum(r.rows for r in classes), sum(r.terms for r in classes)
     starts, at = [], 0
-    for r in classes:  # CLASSES for each doubling of the length: 1,000 at most
+    for r in classes:  # CLASSES for each doubling of the bytes: 1,000 at most
         starts.append((r["class"], at, r.terms))
         at += r.terms
     starts = F.broadcast(spark.createDataFrame(starts, "class int, start bigint, terms bigint"))
@@ -174,8 +182,8 @@ def index_documents(
     # The number of a row depends on the files alone, so a lost task deals its rows as before.
     chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / float(1 << 20)
     piece = F.floor((F.col("start") + F.col("terms") * F.col("chance")) / piece_terms).cast("int")
-    placed = rows.withColumn("chance", chance).join(starts, "class").select("doc_id", "text", "n", piece.alias("piece"))
-    placed = placed.repartition(parts, "piece").sortWithinPartitions("piece", "n")
+    placed = rows.withColumn("chance", chance).join(starts, "class").select("doc_id", "text", piece.alias("piece"))
+    placed = placed.repartition(parts, "piece").sortWithinPartitions("piece")
     wanted = spark.sparkContext.broadcast(_wanted(terms))
 
     def run(batches: Batches) -> Batches:
@@ -183,7 +191,9 @@ def index_documents(
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), Texts(batch.column("text"))
             for doc, text in zip(ids, texts):
-                words = text.translate(LOWERED).split()
+                words = words_of(text)
+                if not words:
+                    continue
                 if made.ids and made.counted + len(words) > piece_terms:
                     yield made.piece()
                     made = _Builder()
