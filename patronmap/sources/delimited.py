@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from patronmap.operators.cleaning import coerce
 from patronmap.sources.mapping import ColumnMapping, map_columns
+from patronmap.sources.quoted import scan_quoted
 
 # Separators that are tried, preferred first among equals.
 SEPARATORS = (",", ";", "\t", "|")
@@ -69,20 +70,21 @@ def detect_separator(spark: SparkSession, path: str) -> str:
 
 
 def scan_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, sep: str | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """All columns as text; nothing is inferred, so the data is not read twice for types.
 
-    With `multi_line`, quoted text may hold line breaks; a file is then one task's work.
+    Quoted text may hold line breaks. By default a pass over the files finds out whether any
+    does; such files are put together by `quoted`, by many tasks. With `multi_line=False` that
+    pass is left out and every line is a record.
     """
-    return spark.read.csv(
-        path,
-        header=True,
-        sep=sep or detect_separator(spark, path),
-        quote='"',
-        escape='"',
-        multiLine=multi_line,
-    )
+    sep = sep or detect_separator(spark, path)
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    if multi_line is not False:
+        found = scan_quoted(spark, path, sep, options)
+        if found is not None:
+            return found
+    return spark.read.csv(path, header=True, **options)
 
 
 def read_transactions(
@@ -91,7 +93,7 @@ def read_transactions(
     mapping: ColumnMapping,
     sep: str | None = None,
     formats: Sequence[str] = (),
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Delimited file as standard transactions; unreadable dates and amounts are null."""
     raw = scan_delimited(spark, path, sep, multi_line)

@@ -380,6 +380,10 @@ KS = range(2, 11)
 ORACLE = {
     "csv_scan": """SELECT CAST(o_custkey AS VARCHAR) AS customer_id,
   o_orderdate AS transaction_date, o_totalprice AS amount FROM orders""",
+    "csv_scan_quoted": """SELECT 'order "' || l_orderkey || '";' || chr(10) || 'line, ' || l_linenumber
+    || CASE WHEN l_linenumber % 2 = 0 THEN chr(13) || chr(10) || chr(10) ELSE '' END AS customer_id,
+  CAST(l_shipdate AS TIMESTAMP) AS transaction_date, CAST(round(l_quantity * l_extendedprice * 100) AS BIGINT) AS amount
+FROM lineitem""",
     "detect_separator": """SELECT written, TRUE AS found, CAST(6 AS INTEGER) AS fields,
   (SELECT count(*) FROM customer) AS lines
 FROM (VALUES ('comma'), ('semicolon'), ('tab'), ('pipe')) AS v(written)""",

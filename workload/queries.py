@@ -43,6 +43,22 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.read_transactions(spark, path, names)
 
 
+def csv_scan_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines under a description with quotes, separators and line breaks, as customers."""
+    path = fresh_path(spark, "lines-csv")
+    said = F.concat(
+        F.lit('order "'), F.col("l_orderkey").cast("string"), F.lit('";\nline, '), F.col("l_linenumber").cast("string"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.lit("\r\n\n")).otherwise(F.lit("")),
+    )
+    lines = t.table(spark, sf_dir, "lineitem").select(
+        said.alias("Description"), F.col("l_shipdate").alias("InvoiceDate"),
+        F.col("l_quantity").alias("Quantity"), F.col("l_extendedprice").alias("Price"),
+    )
+    delimited.write_delimited(lines, path, sep=";", multi_line=True)
+    names = mapping.ColumnMapping("Description", "InvoiceDate", qty_col="Quantity", price_col="Price")
+    return delimited.read_transactions(spark, path, names).withColumn(AMOUNT, t.cents(F.col(AMOUNT)))
+
+
 def detect_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written with every separator, each with a field that holds all of them."""
     people = t.table(spark, sf_dir, "customer").withColumn(
@@ -448,6 +464,7 @@ def segment_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "csv_scan": csv_scan,
+    "csv_scan_quoted": csv_scan_quoted,
     "detect_separator": detect_separator,
     "map_columns": map_columns,
     "amount_qty_price": amount_qty_price,
