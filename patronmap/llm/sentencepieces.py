@@ -10,8 +10,8 @@ that it came from: from the first byte of the source of its first character to t
 of the source of its last. Bytes of one character that the map left alone have one byte each.
 
 No merge crosses a place where the two characters next to it stand side by side in no piece.
-Texts are cut at such places before spaces and around line breaks, and a segment met before
-keeps its pieces, so work follows the different segments. Spark spreads the texts; a worker
+Texts are cut at such places before spaces, around line breaks and between letters and signs,
+and a segment met before keeps its pieces, so work follows the different segments. Spark spreads the texts; a worker
 keeps a bounded number of segments.
 
 Defined cases: a null text is an empty one; an empty text has no pieces; repeated rows are
@@ -24,6 +24,7 @@ import functools
 import hashlib
 import heapq
 import re
+import string
 import struct
 from array import array
 from collections.abc import Iterator
@@ -38,7 +39,10 @@ from patronmap.llm.common import Batches, Texts, inputs
 
 SPACE = "▁"
 RAW_SPACE = SPACE.encode()
-KNOWN_SEGMENTS = 150_000  # segments whose pieces a worker keeps, twice
+# Texts are also cut between these letters and these signs, if no piece holds both side by side.
+LETTERS = string.ascii_letters + "".join(c for c in map(chr, range(0xC0, 0x100)) if c.isalpha())
+SIGNS = string.punctuation
+KNOWN_SEGMENTS = 300_000  # segments whose pieces a worker keeps, twice
 SHORT = 100  # symbols up to which the best pair is sought by looking at all
 NO_PIECE = float("inf")
 # Fixed values of the model file's format: types of pieces, and BPE among the kinds of models.
@@ -152,6 +156,7 @@ class PieceModel:
         # Merges never cross a pair of characters that no piece holds.
         self.cut_at_spaces = not any(p[1] == SPACE != p[0] for p in pairs)
         self.cut_at_lines = not any("\n" in p for p in pairs)
+        self.cut_signs = "".join(c for c in SIGNS if not any(p[1] == c and p[0] in LETTERS for p in pairs))
 
     def normalised(self, text: str) -> tuple[str, list[int], list[int]]:
         """(normalised text, begin, end): the source bytes of every normalised character."""
@@ -284,10 +289,6 @@ class Segment(NamedTuple):
 class Encoder:
     """Encodes texts segment by segment, with the segments met last kept."""
 
-    # A run of spaces with the characters after it, up to a space or line break; or line breaks.
-    SEGMENT = re.compile(rb"\n+| *[^ \n]+| +")
-    SPACE_SEGMENT = re.compile(rb" *[^ ]+| +")
-
     def __init__(self, model: PieceModel, limit: int = KNOWN_SEGMENTS):
         self.model, self.limit = model, limit
         self.recent: dict[bytes, Segment] = {}
@@ -297,7 +298,18 @@ class Encoder:
             not model.map and not model.squeeze and model.dummy_prefix and model.cut_at_spaces and model.fallback
             and max(map(len, model.surfaces)) < 256
         )
-        self.pattern = self.SEGMENT if model.cut_at_lines else self.SPACE_SEGMENT
+        self.pattern = self._pattern()
+
+    def _pattern(self) -> re.Pattern:
+        """Line breaks; or spaces with the characters after them, up to a space, line break or sign after a letter."""
+        line = rb"\n" if self.model.cut_at_lines else b""
+        other = rb"[^ " + line + b"]"
+        found = rb" *" + other + rb"+"
+        if signs := re.escape(self.model.cut_signs).encode():
+            letter = rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))"  # LETTERS as bytes
+            plain = rb" *[^ " + line + signs + rb"]+(?:" + letter + rb"(?=[" + signs + rb"])|[" + signs + rb"]" + other + rb"*)?"
+            found = plain + rb"| *[" + signs + rb"]" + other + rb"*"
+        return re.compile((line + b"+|" if line else b"") + found + rb"| +")
 
     def _learn(self, segment: bytes) -> Segment:
         """Pieces of a segment that is not among the recent ones; kept until as many others came twice."""
