@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +11,13 @@ from patronmap.operators.segments import customers_of_segment
 from patronmap.schema import CUSTOMER, DATE, LABEL
 from patronmap.sources.delimited import write_delimited
 from patronmap.sources.mapping import ColumnMapping
+from patronmap.sources.versions import Outdated, current, read_version, write_version
 from patronmap.storage import delete_folder
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame | None:
     """Stored result, or None if there is none; a damaged file is an error."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    return read_version(spark, path)
 
 
 def result_path(folder: str, dataset_id: str, kind: str) -> str:
@@ -31,8 +26,8 @@ def result_path(folder: str, dataset_id: str, kind: str) -> str:
 
 
 def store_result(df: DataFrame, folder: str, dataset_id: str, kind: str) -> None:
-    """Store a result of a dataset, in place of an earlier one."""
-    df.write.mode("overwrite").parquet(result_path(folder, dataset_id, kind))
+    """Store a result of a dataset, in place of an earlier one, which stays if this fails."""
+    write_version(df, result_path(folder, dataset_id, kind))
 
 
 def stored_result(
@@ -86,9 +81,12 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 def register_dataset(
     df: DataFrame, dataset_id: str, original_name: str, mapping: ColumnMapping, catalog: str
 ) -> None:
-    """Append the profile of a dataset to the catalog table at `catalog`."""
+    """Put the profile of a dataset into the catalog table at `catalog`, in place of an earlier one.
+
+    If other entries were registered meanwhile, the catalog is read again.
+    """
     parts = [F.lit(v).cast("string").alias(k) for k, v in mapping.to_dict().items()]
-    dataset_profile(df).select(
+    entry = dataset_profile(df).select(
         F.lit(dataset_id).alias("id"),
         F.current_timestamp().alias("created_at"),
         F.lit(original_name).alias("original_name"),
@@ -97,7 +95,18 @@ def register_dataset(
         "min_date",
         "max_date",
         F.struct(*parts).alias("mapping"),
-    ).write.mode("append").parquet(catalog)
+    )
+    spark = df.sparkSession
+    entry = spark.createDataFrame(entry.collect(), entry.schema)  # one row
+    while True:
+        before = current(spark, catalog)
+        known = read_version(spark, catalog)
+        others = entry if known is None else known.where(F.col("id") != dataset_id).unionByName(entry)
+        try:
+            write_version(others.coalesce(1), catalog, before, derived=True)
+            return
+        except Outdated:
+            continue
 
 
 def read_catalog(spark: SparkSession, catalog: str) -> DataFrame | None:
