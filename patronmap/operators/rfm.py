@@ -18,6 +18,13 @@ from patronmap.storage import store
 MICROS_PER_DAY = 86_400_000_000
 
 
+def recency_days(last: Column, snapshot: str) -> Column:
+    """Whole elapsed 24-hour days from a timestamp to `snapshot`, rounded down."""
+    elapsed = F.unix_micros(F.lit(snapshot).cast("timestamp")) - F.unix_micros(last)
+    day = F.lit(MICROS_PER_DAY)
+    return F.call_function("div", elapsed - F.pmod(elapsed, day), day)
+
+
 def compute_rfm(df: DataFrame, snapshot: str) -> DataFrame:
     """One row per customer; one shuffle of pre-aggregated rows.
 
@@ -25,9 +32,6 @@ def compute_rfm(df: DataFrame, snapshot: str) -> DataFrame:
     `snapshot`, rounded down (-1 for an hour after it). Frequency counts dated rows.
     """
     last = F.max(F.col(DATE).cast("timestamp"))
-    elapsed = F.unix_micros(F.lit(snapshot).cast("timestamp")) - F.unix_micros("_last")
-    day = F.lit(MICROS_PER_DAY)
-    whole_days = F.call_function("div", elapsed - F.pmod(elapsed, day), day)
     return (
         drop_missing(df, CUSTOMER)
         .groupBy(CUSTOMER)
@@ -36,7 +40,7 @@ def compute_rfm(df: DataFrame, snapshot: str) -> DataFrame:
             F.count(DATE).alias(FREQUENCY),
             F.coalesce(F.sum(known_number(df, AMOUNT)).cast("double"), F.lit(0.0)).alias(MONETARY),
         )
-        .select(CUSTOMER, whole_days.alias(RECENCY), FREQUENCY, MONETARY)
+        .select(CUSTOMER, recency_days(F.col("_last"), snapshot).alias(RECENCY), FREQUENCY, MONETARY)
     )
 
 

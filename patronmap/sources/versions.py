@@ -66,12 +66,14 @@ def publish(
     write: Callable[[str], None],
     after: Version | None = None,
     derived: bool = False,
+    note: str = "",
 ) -> Version:
     """Let `write` make a version in the folder it is given, then put it in force.
 
-    With `derived` the version was made from `after` and must follow it directly.
+    With `derived` the version was made from `after` and must follow it directly. `note` ends
+    the name of the folder.
     """
-    folder = f"data-{uuid.uuid4().hex}"
+    folder = f"data-{uuid.uuid4().hex}{note}"
     try:
         write(f"{path}/{folder}")
         made = _mark(spark, path, folder, after, derived)

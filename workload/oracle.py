@@ -429,6 +429,7 @@ SELECT * FROM seg WHERE "Segment_label" = '{CHOSEN_SEGMENT}'""",
   FROM customer GROUP BY 1)
 SELECT customer_id, "Segment_label", recommendation FROM seg LEFT JOIN texts USING ("Segment_label")""",
     "rfm": f"WITH {RFM} SELECT * FROM rfm",
+    "rfm_incremental": f"WITH {RFM} SELECT * FROM rfm",
     "rfm_events": f"WITH {EVENTS}, {rfm_cte('2024-01-30 12:00:00')} SELECT * FROM rfm",
     "kpi": _kpi(TX),
     "kpi_range": _kpi(EVENTS, IN_RANGE),

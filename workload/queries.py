@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patronmap.operators import cleaning, clustering, growth, report, rfm, segments, trends
 from patronmap.operators.features import prepare_features
 from patronmap.operators.silhouette import EUCLIDEAN, SQUARED_EUCLIDEAN, silhouette
+from patronmap.operators.rfm_state import RfmState
 from patronmap.plans import customers as plan
 from patronmap.plans.clusters import segment
 from patronmap.plans.report import build_report
@@ -197,6 +198,16 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Aggregations
 
 
+def rfm_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of all orders, put in year by year."""
+    orders = t.tx_orders(spark, sf_dir)
+    state = RfmState(spark, fresh_path(spark, "rfm-state"), buckets=8)
+    first, last = orders.agg(F.min(F.year(DATE)), F.max(F.year(DATE))).first()
+    for year in range(first, last + 1):
+        state.update(orders.where(F.year(DATE) == year), year)
+    return state.rfm(SNAPSHOT)
+
+
 def compute_rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rfm.compute_rfm(cleaning.clean(t.tx_orders(spark, sf_dir)), SNAPSHOT)
 
@@ -483,6 +494,7 @@ QUERIES = {
     "segments_distinct": segments_distinct,
     "segment_customers": segment_customers,
     "recommendations": recommendations,
+    "rfm_incremental": rfm_incremental,
     "rfm": compute_rfm,
     "rfm_events": rfm_events,
     "kpi": kpi,
