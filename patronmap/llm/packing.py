@@ -28,7 +28,6 @@ from __future__ import annotations
 import bisect
 import functools
 import re
-import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -42,11 +41,12 @@ from patronmap.storage import store
 
 CAPACITY = 2048
 END_ID = 0
-KNOWN_WORDS = 500_000  # words whose ids a worker keeps
-LINE_WORDS, LINES = 50, 100  # new words to a line, and lines, that are tokenized together
+KNOWN_WORDS = 150_000  # words whose ids a worker keeps, twice
+LINE_WORDS, LINES = 500, 10  # new words to a line, and lines, that are tokenized together
 BUCKET_ROWS = 500  # pieces of one length that are ranked together, on average
 TEXT_BYTES = 1 << 21  # of texts that are tokenized together, or one longer text
 # A word and signs after it that the tokenizer cuts off: after ASCII letters and those of C3.
+LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # letters with one lower-case form
 TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:]+)", re.DOTALL)
 
 
@@ -57,70 +57,63 @@ class WordIds:
     """Ids of texts by a tokenizer of words, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and cuts between letters and the signs in `TAIL`, so a
-    text is cut there first, and a word met before keeps its ids. At most `known_words` are
-    kept.
+    text is cut there first, and a word met before keeps its ids. Words are kept in two
+    generations of about `known_words`: once the newer is full it becomes the older, and words
+    found there go into the newer again, so frequent ones stay.
     """
 
     def __init__(self, path: str, known_words: int = KNOWN_WORDS):
         one_thread()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words that normalising leaves as they are: cut at white space, then bytes as letters.
+        self.splitter = Tokenizer.from_file(path)
+        self.splitter.normalizer = None
+        as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.splitter.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_letters])
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_end[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.limit = known_words
 
-    @staticmethod
-    def plain(word: str) -> bool:
-        """Letters that stay letters, one by one, so that the word has one end."""
-        return word.isalpha() and (
-            word.isascii() or (len(word.lower()) == len(word) and unicodedata.is_normalized("NFC", word))
-        )
-
     def _learn(self, words: set[bytes]) -> None:
         """Keep the ids of new words."""
-        cut = {w: m.groups() for w in words if (m := TAIL.fullmatch(w))}
-        needed = {part for pair in cut.values() for part in pair} | words.difference(cut)
-        simple, others = [], []
-        for word in needed.difference(self.known):
-            text = word.decode()
-            (simple if self.plain(text) else others).append((word, text))
-        for start in range(0, len(simple), LINES * LINE_WORDS):
-            lines = [simple[s : s + LINE_WORDS] for s in range(start, min(len(simple), start + LINES * LINE_WORDS), LINE_WORDS)]
-            texts = [" ".join([text for _, text in line]) for line in lines]
-            for line, found in zip(lines, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        known, older = self.known, self.older
+        fresh = words.difference(older)
+        known.update((w, older[w]) for w in words - fresh)
+        cut = {w: m.groups() for w in fresh if not w.isalpha() and (m := TAIL.fullmatch(w))}
+        fresh.difference_update(cut)
+        fresh.update(*cut.values())
+        latin = [w for w in fresh if w.isalpha() or LATIN.fullmatch(w)]  # isalpha: ASCII letters
+        others = list(fresh.difference(latin, known))
+        for start in range(0, len(latin), LINES * LINE_WORDS):
+            some = latin[start : start + LINES * LINE_WORDS]
+            lines = [some[s : s + LINE_WORDS] for s in range(0, len(some), LINE_WORDS)]
+            texts = [b" ".join(line).decode().lower() for line in lines]
+            for line, found in zip(lines, self.splitter.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(found.ids, dtype="<u4")
                 edges = (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()
-                if len(edges) != len(line):
-                    others += line
-                    continue
-                raw, at = ids.tobytes(), 0
-                for (word, _), edge in zip(line, edges):
-                    self.known[word] = raw[at:edge]
-                    at = edge
+                raw = ids.tobytes()
+                known.update(zip(line, [raw[a:b] for a, b in zip([0, *edges], edges)], strict=True))
         for start in range(0, len(others), LINES * LINE_WORDS):
             some = others[start : start + LINES * LINE_WORDS]
-            for (word, _), found in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
+            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                known[word] = np.array(found.ids, dtype="<u4").tobytes()
         for word, (core, tail) in cut.items():
-            self.known[word] = self.known[core] + self.known[tail]
+            known[word] = known[core] + known[tail]
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of a few texts; the words that are new in them are tokenized together."""
+        if len(self.known) >= self.limit:
+            self.known, self.older = {}, self.known
         words = [t.lower().split() for t in texts]
-        new = set().union(*(set(w).difference(self.known) for w in words))
-        if new and len(self.known) + 2 * len(new) > self.limit:
-            self.known.clear()
-            new = set().union(*words)
-        if new:
+        if new := set().union(*words).difference(self.known):
             self._learn(new)
-        known = self.known
-        return [
-            b"".join([known[w] for w in some]) if b"<|" not in text else self._whole(text)
-            for some, text in zip(words, texts)
-        ]
+        ids_of = self.known.__getitem__
+        return [b"".join(map(ids_of, some)) if b"<|" not in text else self._whole(text) for some, text in zip(words, texts)]
 
     def _whole(self, text: bytes) -> bytes:
         """Of a text that may name special tokens, which are found before letters are lowered."""
