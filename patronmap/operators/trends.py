@@ -79,6 +79,12 @@ def trend(df: DataFrame, rule: str) -> DataFrame:
             F.count(CUSTOMER).alias("active_customers"),
         )
     )
+    return fill_periods(totals, rule)
+
+
+def fill_periods(totals: DataFrame, rule: str) -> DataFrame:
+    """Totals per first day of a period (`_anchor`) as a trend, in which empty periods appear."""
+    period = PERIODS[rule]
     following = F.lead("_anchor").over(Window.orderBy("_anchor"))
     step = F.expr(period.step)
     upto = F.coalesce((F.col("_next") - step).cast("date"), F.col("_anchor"))

@@ -410,6 +410,8 @@ WHERE transaction_date IS NOT NULL AND amount > 0
 SELECT o_orderkey, customer_id, transaction_date, amount FROM messy
 WHERE customer_id IS NOT NULL AND transaction_date IS NOT NULL AND amount IS NOT NULL""",
     "date_range": f"""WITH {EVENTS} SELECT customer_id, transaction_date,
+  amount FROM tx WHERE {IN_RANGE}""",
+    "date_range_stored": f"""WITH {EVENTS} SELECT customer_id, transaction_date,
   amount FROM tx WHERE {IN_RANGE}""",
     "date_range_full_day": f"""WITH {EVENTS} SELECT customer_id, transaction_date,
   amount FROM tx WHERE {IN_FULL_RANGE}""",
@@ -438,6 +440,13 @@ SELECT customer_id, "Segment_label", recommendation FROM seg LEFT JOIN texts USI
         EVENTS, "date_trunc('week', transaction_date)", "p + INTERVAL 6 DAYS", "7 DAYS"
     ),
     "trend_month": _trend(TX, "date_trunc('month', transaction_date)", "last_day(p)", "1 MONTH"),
+    "trend_month_sketch": "SELECT *, TRUE AS close FROM ("
+    + _trend(TX, "date_trunc('month', transaction_date)", "last_day(p)", "1 MONTH") + ")",
+    "kpi_sketch": " UNION ALL ".join(
+        f"SELECT '{end}' AS until, TRUE AS close, * FROM ("
+        + _kpi(TX, f"transaction_date >= TIMESTAMP '1995-01-10' AND transaction_date < TIMESTAMP '{end}' + INTERVAL 1 DAY") + ")"
+        for end in ("1995-02-01", "1996-06-30", "2001-12-31")
+    ),
     "segment_trend": f"""WITH {TX}, {SEGMENTS}
 SELECT CAST(date_trunc('week', transaction_date) + INTERVAL 6 DAYS AS TIMESTAMP)
     AS transaction_date, "Segment_label", CAST(sum(amount) AS DOUBLE) AS revenue

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patronmap.operators import cleaning, clustering, growth, report, rfm, segments, trends
+from patronmap.operators import cleaning, clustering, growth, report, rfm, segments, sketches, trends
 from patronmap.operators.features import prepare_features
 from patronmap.operators.silhouette import EUCLIDEAN, SQUARED_EUCLIDEAN, silhouette
 from patronmap.operators.rfm_state import RfmState
@@ -15,7 +15,7 @@ from patronmap.plans.report import build_report
 from patronmap.schema import AMOUNT, CLUSTER, CUSTOMER, DATE, LABEL, RFM_METRICS, SCORES
 from patronmap.settings import DBSCAN, HIERARCHICAL, KMEANS, MINMAX_SCALER, STANDARD_SCALER
 from patronmap.settings import SegmentRules, Settings, Weights
-from patronmap.sources import delimited, mapping, results
+from patronmap.sources import dated, delimited, mapping, results
 from patronmap.storage import fresh_path, store
 from workload import tables as t
 from workload.tables import SNAPSHOT
@@ -26,6 +26,7 @@ RULES = SegmentRules(vip_r_min=0.7, risk_r_max=0.5, new_fm_max=0.5)
 SCORE_CENTRES = ((1.0, 1.0, 1.0), (1.0, 5.0, 5.0), (3.0, 3.0, 3.0), (5.0, 1.0, 1.0), (5.0, 5.0, 5.0))
 METRIC_CENTRES = ((-0.5, -1.0, -1.0), (-0.5, 1.0, 1.0), (2.0, -1.0, -1.0))
 RANGE = ("2024-01-05", "2024-01-20")
+SKETCH_START, SKETCH_ENDS = "1995-01-10", ("1995-02-01", "1996-06-30", "2001-12-31")
 FORMATS = ("dd.MM.yyyy",)
 CHOSEN_SEGMENT = "BUILDING"
 K = 4
@@ -155,6 +156,13 @@ def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.date_range(_events(spark, sf_dir), *RANGE)
 
 
+def date_range_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a table stored by day, of which a range reads its days only."""
+    path = fresh_path(spark, "events-by-day")
+    dated.write_dated(_events(spark, sf_dir), path, "D")
+    return dated.read_dated(spark, path, *RANGE)
+
+
 def date_range_full_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = cleaning.date_range(_events(spark, sf_dir), *RANGE, end_of_day=True)
     return chosen
@@ -237,6 +245,37 @@ def trend_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trends.trend(_orders(spark, sf_dir), "M")
 
 
+def _close(estimate: str, exact: str) -> Column:
+    """Whether an estimate of customers is within 3 % of the exact number."""
+    return F.abs(F.col(estimate) - F.col(exact)) <= 0.03 * F.col(exact)
+
+
+def kpi_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPIs of growing ranges from one sketch per day, beside the exact ones of the same days."""
+    orders = _orders(spark, sf_dir)
+    daily = store(sketches.daily_sketches(orders), "sketches")
+    out = None
+    for end in SKETCH_ENDS:
+        exact = trends.kpi(cleaning.date_range(orders, SKETCH_START, end, end_of_day=True)).withColumnRenamed("customers", "exact")
+        found = sketches.kpi_of_days(daily, SKETCH_START, end).select("customers", "rows", "revenue", "avg_order")
+        both = found.join(exact.select("exact"), how="cross").select(  # one row beside one row
+            F.lit(end).alias("until"), F.col("exact").alias("customers"), _close("customers", "exact").alias("close"), "rows", "revenue", "avg_order"
+        )
+        out = both if out is None else out.unionAll(both)
+    return out
+
+
+def trend_month_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly trend from one sketch per day; customers are those of the exact trend, which must be close."""
+    orders = _orders(spark, sf_dir)
+    found = sketches.trend_of_days(store(sketches.daily_sketches(orders), "sketches"), "M")
+    exact = trends.trend(orders, "M").select(DATE, F.col("active_customers").alias("exact"))
+    return found.join(exact, DATE).select(
+        DATE, "revenue", "transactions", F.col("exact").alias("active_customers"), "avg_order_value",
+        _close("active_customers", "exact").alias("close"),
+    )
+
+
 def _activity(spark: SparkSession, sf_dir: str, rule: str | None) -> DataFrame:
     """Orders per customer and period, reduced before segments are joined."""
     reduced = trends.activity(_orders(spark, sf_dir), rule)
@@ -486,6 +525,7 @@ QUERIES = {
     "coerce": coerce,
     "clean": clean,
     "clean_light": clean_light,
+    "date_range_stored": date_range_stored,
     "date_range": date_range,
     "date_range_full_day": date_range_full_day,
     "segments_placeholder": segments_placeholder,
@@ -502,6 +542,8 @@ QUERIES = {
     "trend_day": trend_day,
     "trend_week": trend_week,
     "trend_month": trend_month,
+    "trend_month_sketch": trend_month_sketch,
+    "kpi_sketch": kpi_sketch,
     "segment_trend": segment_trend,
     "segment_share": segment_share,
     "segment_comparison": segment_comparison,
