@@ -48,7 +48,22 @@ def inputs(df: DataFrame, **names: str) -> DataFrame:
     """
     if not 0 < int(df.sparkSession.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
         df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_ROWS))
-    return df.select(*(df[f"`{given}`"].alias(own) for own, given in names.items()))
+    return df.select(*(df[quoted(given)].alias(own) for own, given in names.items()))
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_names(df: DataFrame, n: int) -> list[str]:
+    """Names of `n` columns that `df` does not have."""
+    taken, found, i = {c.lower() for c in df.columns}, [], 0
+    while len(found) < n:
+        if (name := f"_own{i}") not in taken:
+            found.append(name)
+        i += 1
+    return found
 
 
 def type_of(df: DataFrame, name: str) -> str:
@@ -103,26 +118,35 @@ def with_text_batches(
 
 
 def sample_by_hash(df: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
-    """At most `per_label` rows of each label, those whose keys hash smallest.
+    """At most `per_label` rows of each label, those whose keys hash smallest, one row per key.
 
-    Which rows are taken depends on the keys alone. A label's rows are first thinned by hash
-    to a few times `per_label`, from its number of rows, so no task sorts more than that.
+    Which keys are taken depends on the keys alone; repeated rows neither raise the chance of
+    their key nor take places. A label's rows are first thinned by hash to a few times
+    `per_label`, from its number of keys, so no task sorts more than that.
     """
     from pyspark.sql import Window
 
-    counts = df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    keys = df.select(F.col(label).alias("_label"), key).distinct()
+    counts = keys.groupBy("_label").agg(F.count("*").alias("_n"))
     place = F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53)
     thin = (
         df.join(F.broadcast(counts), df[label] == counts["_label"])  # a row per label
         .withColumn("_hash", place)
         .where(F.col("_hash") * F.col("_n") <= 2 * per_label + 100)
         .drop("_n", "_label")
+        .dropDuplicates([label, key])
     )
     order = Window.partitionBy(label).orderBy("_hash", key)
     ranked = thin.withColumn("_place", F.row_number().over(order))
     return ranked.where(F.col("_place") <= per_label).drop("_place", "_hash")
 
 
+def texts_of_sample(rows: DataFrame, sample: DataFrame, *keys: str) -> DataFrame:
+    """The sample's rows, which are bounded, each with one text: the smallest of those that `rows` has for its keys."""
+    found = rows.select(*keys, "text").join(F.broadcast(sample), list(keys))
+    return found.groupBy(*sample.columns).agg(F.min("text").alias("text"))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the installed vocabulary file of this name lies."""
     import public_tokenizers

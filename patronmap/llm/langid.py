@@ -21,6 +21,7 @@ rows get a row each; null labels teach nothing; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronmap.llm import features
-from patronmap.llm.common import Batches, Texts, inputs, is_fold, sample_by_hash, with_text_batches
+from patronmap.llm.common import Batches, Texts, inputs, is_fold, sample_by_hash, texts_of_sample, with_text_batches
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -99,12 +100,11 @@ def fit(counts: np.ndarray, labels: list[str]) -> LanguageCode:
 
 
 def training_rows(rows: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> DataFrame:
-    """A bounded sample of (doc_id, text, lang) for training."""
+    """A bounded sample of (doc_id, lang, text) for training; a document with copies is taken once."""
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     n = labelled.select("lang").distinct().count()
     keys = sample_by_hash(labelled.select("doc_id", "lang"), "lang", "doc_id", min(per_language, -(-most_rows // max(1, n))))
-    keys = keys.select("doc_id").distinct()  # at most most_rows + n rows
-    return labelled.join(F.broadcast(keys), "doc_id", "left_semi")
+    return texts_of_sample(labelled, keys, "doc_id", "lang")  # at most most_rows + n rows
 
 
 def fit_on(rows: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> LanguageCode:
@@ -114,7 +114,7 @@ def fit_on(rows: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = M
             text = raw.decode("utf-8", "replace")
             parts = [text]
             for k, span in enumerate(SPANS):
-                start = hash((one, k)) % max(1, len(text) - span) if isinstance(one, int) else 0
+                start = zlib.crc32(f"{one}:{k}".encode()) % max(1, len(text) - span)
                 parts.append(text[start : start + span])
             out["parts"].append([features.sparse(gram_counts(p)) for p in parts if has_letter(p)])
         return {"parts": pa.array(out["parts"], pa.list_(pa.struct([("at", pa.binary()), ("n", pa.binary())])))}

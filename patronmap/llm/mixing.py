@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronmap.llm.common import WORD, inputs
+from patronmap.llm.common import WORD, inputs, own_names, quoted
 from patronmap.storage import store
 
 WEIGHTS = (5, 2, 1)
@@ -229,29 +229,38 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = ["s", "bucket", "place", "doc_id", "source", "size", "text_key"]
     part = F.struct(F.col("from"), "words", "times")
     chosen = made.pieces.where("times > 0").groupBy(*keys).agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    same = ["_id", "_source", "_key"]
-    renamed = {"doc_id": "_id", "source": "_source", "text_key": "_key"}
-    # Repeated rows are told apart by a number; which is which makes no difference.
-    chosen = chosen.withColumnsRenamed(renamed).withColumn(
-        "_copy", F.row_number().over(Window.partitionBy(*same).orderBy("bucket", "place"))
+    # Columns of its own get names that `docs` doesn't have.
+    id_, source_, key_, copy_, size_, parts_, text_ = own_names(docs, 7)
+    same = [id_, source_, key_]
+    chosen = chosen.withColumnsRenamed({"doc_id": id_, "source": source_, "text_key": key_}).withColumn(
+        # Repeated rows are told apart by a number; which is which makes no difference.
+        copy_, F.row_number().over(Window.partitionBy(*same).orderBy("bucket", "place"))
     )
     keyed = docs.withColumns(
-        {"_id": F.col(f"`{id_col}`"), "_source": F.col(f"`{source_col}`"), "_key": F.xxhash64(f"`{text_col}`")}
+        {id_: F.col(quoted(id_col)), source_: F.col(quoted(source_col)), key_: F.xxhash64(quoted(text_col))}
     )
-    keyed = keyed.withColumn("_copy", F.row_number().over(Window.partitionBy(*same).orderBy("_key")))
-    on = keyed["_copy"] == chosen["_copy"]
+    keyed = keyed.withColumn(copy_, F.row_number().over(Window.partitionBy(*same).orderBy(key_)))
+    chosen = chosen.select(*same, copy_, F.col("size").alias(size_), F.col("parts").alias(parts_))
+    on = keyed[copy_] == chosen[copy_]
     for name in same:
         on = on & keyed[name].eqNullSafe(chosen[name])
-    joined = keyed.join(chosen.select(*same, "_copy", F.col("size").alias("_size"), F.col("parts").alias("_parts")), on)
-    turns = F.explode(F.expr("sequence(1, array_max(transform(_parts, x -> x.times)))"))
-    joined = joined.select(*(keyed[c] for c in docs.columns), "_size", "_parts", turns.alias("_turn"))
-    now = F.filter("_parts", lambda x: x["times"] >= F.col("_turn"))
-    joined = joined.withColumn("_parts", now)
-    count = F.aggregate("_parts", F.lit(0).cast("bigint"), lambda n, x: n + x["words"])
-    words = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(WORD), F.lit(0))
-    cut = F.transform("_parts", lambda x: F.slice(F.col("_words"), (x["from"] + 1).cast("int"), x["words"].cast("int")))
-    text = F.when(count == F.col("_size"), F.col(f"`{text_col}`")).otherwise(F.array_join(F.flatten(cut), " "))
-    out = joined.withColumn("_words", F.when(count < F.col("_size"), words)).withColumn(text_col, text)
+    joined = keyed.join(chosen, on)
+    most = F.array_max(F.transform(F.col(parts_), lambda x: x["times"]))
+    turn = F.explode(F.sequence(F.lit(1).cast("bigint"), most.cast("bigint")))
+    joined = joined.select(*(keyed[c] for c in map(quoted, docs.columns)), size_, parts_, turn.alias(copy_))
+    joined = joined.withColumn(parts_, F.filter(parts_, lambda x: x["times"] >= F.col(copy_)))
+    count = F.aggregate(parts_, F.lit(0).cast("bigint"), lambda n, x: n + x["words"])
+    whole = F.col(quoted(text_col))
+
+    def kept(words: Column) -> Column:
+        cut = F.transform(F.col(parts_), lambda x: F.slice(words, (x["from"] + 1).cast("int"), x["words"].cast("int")))
+        return F.array_join(F.flatten(cut), " ")
+
+    # The words are bound once: an expression used inside a lambda is computed for every element.
+    split = F.regexp_extract_all(whole, F.lit(WORD), F.lit(0))
+    text = F.when(count == F.col(size_), whole).otherwise(F.transform(F.array(split), kept)[0])
+    out = joined.withColumn(text_, text)
+    columns = {c: F.col(quoted(c)) for c in docs.columns} | {text_col: F.col(text_)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(f"`{text_col}`").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.length(text_).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(value.alias(name) for name, value in columns.items()))

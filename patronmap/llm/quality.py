@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronmap.llm import features
-from patronmap.llm.common import fold, inputs, sample_by_hash, with_text_batches
+from patronmap.llm.common import fold, inputs, sample_by_hash, texts_of_sample, with_text_batches
 
 CHAR_ORDERS = (2, 3)
 CHAR_BITS = 12
@@ -100,11 +100,11 @@ def fit(counts: np.ndarray, labels: np.ndarray, calibrates: np.ndarray) -> Quali
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most_rows: int) -> DataFrame:
-    """At most `most_rows` of (doc_id, text, label), those whose ids hash smallest."""
+    """At most `most_rows` of (doc_id, label, text), those whose ids hash smallest, each id once."""
     known = labels.select("doc_id", F.col(label).alias("label")).where("doc_id is not null and label is not null")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("all", F.lit(1))
     known = sample_by_hash(known, "all", "doc_id", most_rows).select("doc_id", "label")
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return texts_of_sample(docs, known, "doc_id")
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> QualityModel:

@@ -36,7 +36,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronmap.llm.common import inputs, is_fold, sample_by_hash, tokenizer_path, with_text_batches
+from patronmap.llm.common import inputs, is_fold, own_names, quoted, sample_by_hash, tokenizer_path, with_text_batches
 from patronmap.storage import store
 
 DICTIONARY = "word_bpe_49k.json"
@@ -62,7 +62,8 @@ KEY = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=\\[nrt])|(?<=%[0-9A-Fa-f]{2}))" + PRO
 PLACEHOLDERS = ("example", "changeme", "placeholder", "dummy", "sample", "xxxx", "your_", "<", "${", "****")
 
 ASSIGNED = re.compile(r"(?i:" + "|".join(NAMES) + r")[\w-]{0,20}[\"']?\s{0,3}[:=]\s{0,3}([\"']?)([^\s\"',;]{6,})")
-KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")
+KEY_BEGIN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+KEY_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
 RUN = re.compile(r"\S+")
 DIGIT = re.compile(r"\d")
 EDGES = "\"'`()[]{}<>.,;:!?"
@@ -84,6 +85,20 @@ def dictionary(path: str) -> frozenset[str]:
     return frozenset(w for w in ends if len(w) >= LEAST_LETTERS and w.isascii() and w.isalpha())
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Spans from a mark that begins a private key to the next that ends one, none inside another."""
+    ends = [m.span() for m in KEY_END.finditer(text)]
+    found: list[tuple[int, int]] = []
+    for begin in KEY_BEGIN.finditer(text):
+        if found and begin.start() < found[-1][1]:
+            continue
+        at = bisect.bisect_left(ends, begin.end(), key=lambda span: span[0])
+        if at == len(ends):
+            break
+        found.append((begin.start(), ends[at][1]))
+    return found
+
+
 class Spans(list):
     """(start, end, rule), in order and apart."""
 
@@ -109,7 +124,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     Key blocks come first, then keys of providers wherever they stand, then what is left of
     assigned values, then what is left of runs.
     """
-    found = Spans([(*m.span(), "key_block") for m in KEY_BLOCK.finditer(text)] if "PRIVATE KEY-----" in text else [])
+    found = Spans([(*s, "key_block") for s in key_blocks(text)] if "PRIVATE KEY-----" in text else [])
     if any(prefix in text for prefix in PREFIXES):
         keys = [m.span() for m in KEY.finditer(text)]
         found = Spans(found + [(*span, "provider") for span in keys if found.outside(*span) == [span]])
@@ -293,13 +308,14 @@ def scan(
 def redacted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", **options) -> DataFrame:
     """The rows of `docs` with `MARK` in place of the secrets found; a column n_chars follows the text."""
     found = scan(docs, None, id_col, text_col, path_col, **options).where("is_secret")
+    id_, key_, spans_, text_, doc_, hash_ = own_names(docs, 6)
     spans = (
-        found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "start", "length").distinct()
-        .groupBy("_id", "_key").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("_spans"))
+        found.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_), "start", "length").distinct()
+        .groupBy(id_, key_).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias(spans_))
     )
-    keyed = docs.withColumns({"_id1": F.col(f"`{id_col}`"), "_key1": F.xxhash64(f"`{text_col}`")})
-    on = keyed["_id1"].eqNullSafe(spans["_id"]) & keyed["_key1"].eqNullSafe(spans["_key"])
-    text = F.col(f"`{text_col}`")
+    keyed = docs.withColumns({doc_: F.col(quoted(id_col)), hash_: F.xxhash64(quoted(text_col))})
+    on = keyed[doc_].eqNullSafe(spans[id_]) & keyed[hash_].eqNullSafe(spans[key_])
+    text = F.col(quoted(text_col))
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s, span):
@@ -309,10 +325,11 @@ def redacted_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def rest(s):
         return F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2**31 - 1)))
 
-    joined = keyed.join(spans, on, "left")
-    made = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", state, step, rest))
-    out = joined.withColumn(text_col, made)
+    unchanged = F.col(spans_).isNull()
+    made = F.when(unchanged, text).otherwise(F.aggregate(spans_, state, step, rest))
+    out = keyed.join(spans, on, "left").withColumn(text_, made)
+    columns = {c: F.col(quoted(c)) for c in docs.columns} | {text_col: F.col(text_)}
     if "n_chars" in docs.columns:
-        length = F.length(text).cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(length))
-    return out.select(*docs.columns)
+        length = F.length(text_).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(unchanged, F.col("n_chars")).otherwise(length)
+    return out.select(*(value.alias(name) for name, value in columns.items()))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronmap.llm.common import Batches, inputs, with_text_batches
+from patronmap.llm.common import Batches, inputs, own_names, quoted, with_text_batches
 from patronmap.operators.components import connected_components
 from patronmap.storage import store
 
@@ -245,7 +245,11 @@ def simhash_components(
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that stand for their components, with all their columns, once each."""
     found = simhash_components(docs, id_col, text_col, **options)
-    kept = found.where("keep").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumns({"_id": F.col(f"`{id_col}`"), "_key": F.xxhash64(f"`{text_col}`")})
-    same = keyed["_id"].eqNullSafe(kept["_id"]) & keyed["_key"].eqNullSafe(kept["_key"])
-    return keyed.join(kept.distinct(), same, "left_semi").dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    id_, key_, gone_ = own_names(docs, 3)
+    keyed = docs.withColumns({id_: F.col(quoted(id_col)), key_: F.xxhash64(quoted(text_col))})
+    # Rows that stand for others are told by what goes, which is little, so the other texts need not move twice.
+    gone = found.where("NOT keep").select(F.col("doc_id").alias(id_), F.col("text_key").alias(key_)).distinct()
+    gone = gone.withColumn(gone_, F.lit(True))
+    same = keyed[id_].eqNullSafe(gone[id_]) & keyed[key_].eqNullSafe(gone[key_])
+    kept = keyed.join(gone, same, "left_anti")
+    return kept.dropDuplicates([id_, key_]).select(*map(quoted, docs.columns))

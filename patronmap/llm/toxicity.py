@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronmap.llm.common import inputs, is_fold, sample_by_hash, with_text_batches
+from patronmap.llm.common import inputs, is_fold, sample_by_hash, texts_of_sample, with_text_batches
 from patronmap.llm.features import sigmoid
 
 BITS = 18
@@ -125,12 +125,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Fa
     known = labels.where("doc_id is not null and label is not null")
     known = known.groupBy("doc_id").agg(F.max((F.col("label") > 0).cast("int")).alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    sample = F.broadcast(sample_by_hash(known, "label", "doc_id", per_label))  # 2 x per_label rows
+    sample = sample_by_hash(known, "label", "doc_id", per_label)  # 2 x per_label rows
 
     def work(texts, _):
         return {"terms": pa.array([terms(t).astype("<u4").tobytes() for t in texts], pa.binary())}
 
-    made = with_text_batches(docs.select("doc_id", "text").join(sample, "doc_id"), "text", "terms binary", work).collect()
+    made = with_text_batches(texts_of_sample(docs, sample, "doc_id"), "text", "terms binary", work).collect()
     made.sort(key=lambda r: str(r["doc_id"]))
     sets = [np.frombuffer(r["terms"], "<u4").astype(np.int64) for r in made]
     total = sum(counts.values())

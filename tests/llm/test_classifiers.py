@@ -284,3 +284,23 @@ def test_redaction_and_tables_without_secrets(spark):
     assert got[5].n_chars == len(got[5].text) and got[9001].text is None and got[9003].text == ODD[2][1]
     plain = secrets.scan(df.where("doc_id > 9000"))
     assert plain.collect() == [] and secrets.scan(df.limit(0)).collect() == []
+
+
+def test_repeated_rows_neither_fill_nor_change_a_sample(spark):
+    from patronmap.llm import quality
+    from patronmap.llm.common import sample_by_hash
+
+    once = [(i, f"text {i} " * 5, ["en", "de", "fr"][i % 3], i % 2) for i in range(90)]
+    schema = "doc_id bigint, text string, lang string, quality int"
+    single, copies = spark.createDataFrame(once, schema), spark.createDataFrame(once * 50 + once[:1] * 3000, schema)
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    for df in (single, copies):
+        assert df.count() == len(once) or df is copies
+        found = rows(sample_by_hash(df.select("doc_id", "lang"), "lang", "doc_id", 7))
+        assert len(found) == 21 and found == rows(sample_by_hash(single.select("doc_id", "lang"), "lang", "doc_id", 7))
+    assert rows(langid.training_rows(copies, 8)) == rows(langid.training_rows(single, 8)) and langid.training_rows(copies, 8).count() == 24
+    given = [quality.labelled_texts(df, df.select("doc_id", "quality"), "quality", 10) for df in (single, copies)]
+    assert rows(given[0]) == rows(given[1]) and given[1].count() == 10

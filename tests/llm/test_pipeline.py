@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from patronmap.llm import mixing, secrets
+from patronmap.llm import mixing, secrets, simhash
 from patronmap.llm.common import tokenizer_path
 from patronmap.llm.packing import WordIds
 from patronmap.storage import fresh_path
@@ -110,3 +110,36 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         made = stage(spark, docs, SF)
         assert made.collect() == []
+
+
+def test_columns_with_the_operators_own_names_stay(spark):
+    names = ["doc_id", "source", "lang", "text", "n_chars", "_id", "_key", "_parts", "_own0", "_spans", "_size", "a`b"]
+    docs = spark.createDataFrame([(1, "s", "en", "password=ab12cd34ef56ab78 is one word of it", 3, *range(7))], ", ".join(
+        f"`{n.replace('`', '``')}` {'string' if i in (1, 2, 3) else 'bigint'}" for i, n in enumerate(names)
+    ))
+    for stage in (simhash.one_of_each_group, secrets.redacted_documents, mixing.mixed_documents):
+        found = stage(docs)
+        assert found.columns == names
+        assert {tuple(r)[5:] for r in found.collect()} == {tuple(range(7))}
+
+
+def test_key_blocks_are_found_in_linear_time():
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    text = f"{begin} a {begin} b {end} c {end} {begin} d {end} {begin}"
+    spans = [text[a:b] for a, b in secrets.key_blocks(text)]
+    assert spans == [f"{begin} a {begin} b {end}", f"{begin} d {end}"]
+    assert secrets.key_blocks(f"{begin} x\n" * 200_000) == []
+
+
+def test_parts_of_a_long_document_are_cut_in_linear_time(spark):
+    import time
+
+    def seconds(words):
+        docs = spark.createDataFrame([(1, "s", "en", " ".join(f"w{i}" for i in range(words)), 0), (2, "t", "en", "x " * words, 0)], "doc_id bigint, source string, lang string, text string, n_chars bigint")
+        start = time.perf_counter()
+        out = mixing.mixed_documents(docs).collect()
+        assert all(r.n_chars == len(r.text) for r in out)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(80_000) < 3 * seconds(20_000) + 5
