@@ -236,14 +236,6 @@ def test_only_the_result_is_left_behind(spark):
     assert folders(spark) == before
 
 
-def test_neighbours_are_looked_up_along_the_widest_axes(spark):
-    names = [f"x{i}" for i in range(6)]
-    points = spark.range(50).select(*(F.lit(0.0).alias(n) for n in names[:3]), *((F.col("id") * 0.1 * i).alias(n) for i, n in enumerate(names[3:], 1)))
-    grid = density._Grid(6, 0.5)
-    grid.choose_lookups(points)
-    assert grid.lookups == [3, 4, 5]
-
-
 @pytest.mark.parametrize("algorithm", ["K-Means", "Hierarchical", "Hierarchical (Agglomerative)"])
 def test_three_blobs_are_three_clusters(spark, algorithm):
     frame, pdf = frame_of(spark, blobs())
@@ -310,6 +302,33 @@ def test_dbscan_with_a_hot_cell(spark, direct_pairs, monkeypatch):
     check_dbscan(spark, points, 0.3, 6)
 
 
+@pytest.mark.parametrize("d", [4, 6])
+def test_dbscan_along_many_axes(spark, d):
+    """Most cells agree along the widest axes and differ along the narrow ones only."""
+    rng = np.random.default_rng(d)
+    wide = rng.choice([-20.0, 0.0, 20.0], (300, 3)) * (rng.random((300, 1)) < 0.1)
+    points = np.concatenate([wide, rng.uniform(-0.9, 0.9, (300, d - 3))], axis=1)
+    points = np.concatenate([points, points[:40], rng.uniform(-20, 20, (30, d))])
+    names = [f"f{i}" for i in range(d)]
+    rows = [(i, *map(float, p)) for i, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, "customer_id BIGINT, " + ", ".join(f"{n} DOUBLE" for n in names))
+    for eps, least in ((0.35, 4), (0.8, 10)):
+        done = dbscan(frame, names, eps, least).toPandas().sort_values("customer_id")
+        expected = brute_dbscan(points, eps, least)
+        assert (done["cluster"].to_numpy() == expected).all() and len(set(expected)) > 1
+
+
+def test_a_key_of_the_tree_has_few_cells(spark):
+    grid = density._Grid(5, 1.0)
+    columns = ", ".join(f"{side}{i} DOUBLE" for side in ("low", "high") for i in range(5))
+    every = [(7, 7, 7, i % 40, i // 40) for i in range(1600)]
+    rows = [(list(c), *(2 * [0.0, 0.0, 0.0, c[3] * 0.3, c[4] * 0.3])) for c in every]
+    cells = spark.createDataFrame(rows, f"cell ARRAY<BIGINT>, {columns}")
+    found = {(tuple(r.a), tuple(r.b)) for r in density._neighbours(grid, cells, cells).collect()}
+    assert found == {(a, b) for a in every for b in every if (a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2 <= 11}
+    assert density._neighbours(grid, cells, cells.limit(0)).collect() == []
+
+
 def test_components_of_a_long_path(spark):
     ids = np.random.default_rng(2).permutation(300)
     pairs = [(int(a), int(b)) for a, b in zip(ids[:199], ids[1:200])]

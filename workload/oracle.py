@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload.queries import CHOSEN_SEGMENT, EPS, K, METRIC_CENTRES, MIN_SAMPLES, RANGE, RULES
+from workload.queries import CHOSEN_SEGMENT, EPS, EPS_SIX, K, METRIC_CENTRES, MIN_SAMPLES, RANGE, RULES
 from workload.queries import SCORE_CENTRES, WEIGHTS
 from workload.tables import SNAPSHOT
 
@@ -199,6 +199,10 @@ def _standard(metric: str, weight: float = 1.0) -> str:
     return f"(({x}) - avg({x}) OVER ()) / nullif(stddev_pop({x}) OVER (), 0)"
 
 
+SIX = ["recency", "frequency", "monetary", '"R_score"', '"F_score"', '"M_score"']
+SCALED_SIX = f"""{SCORES}, scaled AS (
+  SELECT customer_id, {", ".join(f"{_standard(m)} AS x{i}" for i, m in enumerate(SIX))} FROM scored)"""
+
 SCALED = f"""{RFM}, scaled AS (
   SELECT customer_id, {_standard("recency")} AS x0, {_standard("frequency")} AS x1,
     {_standard("monetary")} AS x2 FROM rfm)"""
@@ -226,10 +230,11 @@ SELECT '{metric}' AS metric, round(avg(CASE WHEN n_own = 1 OR greatest(inside, o
 FROM sided"""
 
 
-DBSCAN_SQL = f"""WITH RECURSIVE {SCALED}, near AS MATERIALIZED (
+def dbscan_sql(scaled: str, d: int, eps: float) -> str:
+    gap = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(d))
+    return f"""WITH RECURSIVE {scaled}, near AS MATERIALIZED (
   SELECT a.customer_id AS a, b.customer_id AS b FROM scaled a JOIN scaled b
-  ON (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)
-   + (a.x2 - b.x2) * (a.x2 - b.x2) <= {_double(EPS * EPS)}), core AS MATERIALIZED (
+  ON {gap} <= {_double(eps * eps)}), core AS MATERIALIZED (
   SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {MIN_SAMPLES}), links AS MATERIALIZED (
   SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 reached(root, id) AS (
@@ -411,6 +416,10 @@ SELECT o_orderkey, customer_id, transaction_date, amount FROM messy
 WHERE customer_id IS NOT NULL AND transaction_date IS NOT NULL AND amount IS NOT NULL""",
     "date_range": f"""WITH {EVENTS} SELECT customer_id, transaction_date,
   amount FROM tx WHERE {IN_RANGE}""",
+    "date_format_vote": """SELECT written, format, (SELECT count(*) FROM orders) AS known, (SELECT count(*) FROM orders) AS readable,
+  (SELECT CAST(min(o_orderdate) AS TIMESTAMP) FROM orders) AS min_date, (SELECT CAST(max(o_orderdate) AS TIMESTAMP) FROM orders) AS max_date
+FROM (VALUES ('day_first', 'd/M/yyyy[ H:mm[:ss]]'), ('month_first', 'M/d/yyyy[ H:mm[:ss]]'),
+  ('dotted', 'd.M.yyyy[ H:mm[:ss]]'), ('iso', 'iso')) AS v(written, format)""",
     "date_range_stored": f"""WITH {EVENTS} SELECT customer_id, transaction_date,
   amount FROM tx WHERE {IN_RANGE}""",
     "date_range_full_day": f"""WITH {EVENTS} SELECT customer_id, transaction_date,
@@ -551,7 +560,8 @@ SELECT CAST(customer_id AS VARCHAR) AS customer_id, CAST("cluster" AS VARCHAR) A
   "Segment_label", CAST(recency AS VARCHAR) AS recency, CAST(frequency AS VARCHAR) AS frequency,
   CAST(CAST(monetary AS BIGINT) AS VARCHAR) AS monetary
 FROM seg LEFT JOIN rfm USING (customer_id) WHERE "Segment_label" = '{CHOSEN_SEGMENT}'""",
-    "dbscan": DBSCAN_SQL,
+    "dbscan": dbscan_sql(SCALED, 3, EPS),
+    "dbscan_six": dbscan_sql(SCALED_SIX, 6, EPS_SIX),
     "silhouette": _silhouette(
         f"""{SCORES}, points AS (SELECT customer_id AS id, "R_score" AS r, "F_score" AS f,
     "M_score" AS m, {_nearest(['"R_score"', '"F_score"', '"M_score"'], SCORE_CENTRES)} AS c

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patronmap.operators import cleaning, clustering, growth, report, rfm, segments, sketches, trends
+from patronmap.operators import cleaning, clustering, date_formats, growth, report, rfm, segments, sketches, trends
 from patronmap.operators.features import prepare_features
 from patronmap.operators.silhouette import EUCLIDEAN, SQUARED_EUCLIDEAN, silhouette
 from patronmap.operators.rfm_state import RfmState
@@ -31,6 +31,7 @@ FORMATS = ("dd.MM.yyyy",)
 CHOSEN_SEGMENT = "BUILDING"
 K = 4
 EPS = 0.3
+EPS_SIX = 0.8
 MIN_SAMPLES = 5
 
 
@@ -144,6 +145,20 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(t.messy_orders(spark, sf_dir), FORMATS)
 
 
+def date_format_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders as texts in four formats: which one each column as a whole has, and what it reads."""
+    orders = t.table(spark, sf_dir, "orders")
+    out = None
+    for name, pattern in (("day_first", "dd/MM/yyyy"), ("month_first", "MM/dd/yyyy"), ("dotted", "d.M.yyyy H:mm"), ("iso", "yyyy-MM-dd")):
+        texts = orders.select(F.date_format("o_orderdate", pattern).alias(DATE))
+        found = date_formats.choose_format(date_formats.date_votes(texts)).select(
+            F.lit(name).alias("written"), F.coalesce("format", F.lit("iso")).alias("format"), "known", "readable",
+            F.col("first").alias("min_date"), F.col("last").alias("max_date"),
+        )
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 def clean_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean_light(t.messy_orders(spark, sf_dir), FORMATS)
 
@@ -443,6 +458,12 @@ def dbscan_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(CUSTOMER, CLUSTER)
 
 
+def dbscan_six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clustering along metrics and scores, beyond the axes of a block lookup."""
+    found = segment(_scores(spark, sf_dir), DBSCAN, (*RFM_METRICS, *SCORES), eps=EPS_SIX, min_samples=MIN_SAMPLES)
+    return found.select(CUSTOMER, CLUSTER)
+
+
 def _one_value(spark: SparkSession, metric: str, value: float) -> DataFrame:
     row = spark.createDataFrame([(metric, value)], "metric STRING, silhouette DOUBLE")
     return _rounded(row, "silhouette")
@@ -524,6 +545,7 @@ QUERIES = {
     "dataset_profile": dataset_profile,
     "coerce": coerce,
     "clean": clean,
+    "date_format_vote": date_format_vote,
     "clean_light": clean_light,
     "date_range_stored": date_range_stored,
     "date_range": date_range,
@@ -570,6 +592,7 @@ QUERIES = {
     "kmeans_segments": kmeans_segments,
     "hierarchical": hierarchical,
     "dbscan": dbscan_segments,
+    "dbscan_six": dbscan_six,
     "silhouette": silhouette_euclidean,
     "silhouette_blocks": silhouette_blocks,
     "silhouette_squared": silhouette_squared,
