@@ -17,12 +17,32 @@ COMPACT_DATE = r"^\s*[0-9]{8}\s*$"
 NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 
 
+# The first and last moment, in whole microseconds, of 64-bit nanoseconds from 1970.
+FIRST_MOMENT, LAST_MOMENT = "1677-09-21 00:12:43.145225Z", "2262-04-11 23:47:16.854775Z"
+
+
 def as_timestamp(column: Column, dtype: T.DataType, formats: Sequence[str] = ()) -> Column:
     """Timestamp of a date, timestamp, number or text column.
 
     Text may be ISO 8601, with or without dashes, or follow any of `formats`; each row is
-    read by itself. A number counts nanoseconds from 1970. Any other type has no dates.
+    read by itself. A number counts nanoseconds from 1970. Any other type has no dates. What does
+    not fit into 64-bit nanoseconds, such as 9999-12-31 for an open end, is missing; dates and
+    timestamps are passed on as they are, so that a scan can use filters on them, and
+    `in_range` finds those.
     """
+    moment = _moment(column, dtype, formats)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return moment
+    return F.when(in_range(moment), moment)
+
+
+def in_range(moment: Column) -> Column:
+    """Whether a timestamp fits into 64-bit nanoseconds."""
+    first, last = (F.lit(m).cast("timestamp") for m in (FIRST_MOMENT, LAST_MOMENT))
+    return moment.between(first, last)
+
+
+def _moment(column: Column, dtype: T.DataType, formats: Sequence[str]) -> Column:
     if isinstance(dtype, T.StringType):
         iso = F.when(column.rlike(ISO_DATE), F.try_to_timestamp(column))
         compact = F.try_to_timestamp(F.trim(column), F.lit("yyyyMMdd"))

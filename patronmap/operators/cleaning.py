@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronmap.functions.coerce import as_number, as_timestamp, is_known, is_not_blank
+from patronmap.functions.coerce import as_number, as_timestamp, in_range, is_known, is_not_blank
 from patronmap.schema import AMOUNT, CUSTOMER, DATE
 
 
@@ -25,9 +25,10 @@ def coerce(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
 def clean_light(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
     """Coerce, then drop rows without customer, date or amount (NaN counts as missing).
 
-    Negative amounts and blank customers stay: trends and reports see returns too.
+    Negative amounts and blank customers stay: trends and reports see returns too. Dates that
+    do not fit into 64-bit nanoseconds are missing, whatever the column's type.
     """
-    return drop_missing(coerce(df, formats), CUSTOMER, DATE, AMOUNT)
+    return drop_missing(coerce(df, formats), CUSTOMER, DATE, AMOUNT).where(in_range(F.col(DATE)))
 
 
 def drop_missing(df: DataFrame, *columns: str) -> DataFrame:

@@ -56,15 +56,20 @@ def segment(
             return found.drop(*names)
         points = store(clustering.grid_points(table, names), "points").persist()
         try:
+            fits: dict[int, clustering.Centroids] = {}
             if k is None:
-                best = clustering.best_k(clustering.auto_k(customers, features, scaler, defaults.auto_k)).first()
+                if Weights.of(weights) == Weights():  # the sweep's points are the ones to cluster; its fits serve
+                    rows, fits = clustering.sweep(points, defaults.auto_k, clustering.default_metric(features))
+                else:
+                    rows = clustering.auto_k(customers, features, scaler, defaults.auto_k)
+                best = clustering.best_k(rows).first()
                 if best is None:
                     raise ValueError("too few customers for the range of k")
                 k = best.k
             # Rows are placed by the rounded values that the fit has seen.
             rounded = table.withColumns({n: clustering.on_grid(n) / clustering.GRID for n in names})
             if algorithm == KMEANS:
-                fitted = clustering.fit_kmeans(points, k)
+                fitted = fits.get(k) or clustering.fit_kmeans(points, k)
                 labelled = clustering.assign_nearest(rounded, names, fitted.points) if fitted.points else rounded.selectExpr("*", f"CAST(NULL AS INT) AS {CLUSTER}")
             else:
                 labelled = clustering.assign_tree(rounded, names, clustering.fit_tree(points, k))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronmap.operators.cleaning import coerce
+from patronmap.operators.date_formats import coerce_column
 from patronmap.sources.mapping import ColumnMapping, map_columns
 from patronmap.sources.quoted import scan_quoted
 
@@ -92,12 +93,15 @@ def read_transactions(
     path: str,
     mapping: ColumnMapping,
     sep: str | None = None,
-    formats: Sequence[str] = (),
+    formats: Sequence[str] | None = (),
     multi_line: bool | None = None,
 ) -> DataFrame:
-    """Delimited file as standard transactions; unreadable dates and amounts are null."""
-    raw = scan_delimited(spark, path, sep, multi_line)
-    return coerce(map_columns(raw, mapping), formats)
+    """Delimited file as standard transactions; unreadable dates and amounts are null.
+
+    With `formats=None` the date column's format is found by a pass over it.
+    """
+    mapped = map_columns(scan_delimited(spark, path, sep, multi_line), mapping)
+    return coerce_column(mapped) if formats is None else coerce(mapped, formats)
 
 
 def _one_line(df: DataFrame) -> DataFrame:
