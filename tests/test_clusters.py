@@ -162,17 +162,31 @@ def test_fit_equals_plain_rounds(spark, k):
     assert sum(fitted.sizes) == 200
 
 
-def test_fit_does_not_depend_on_partitions(spark):
-    frame, _ = frame_of(spark, np.random.default_rng(5).normal(size=(80, 2)))
+def test_fit_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(c, "HELD_POINTS", 10)  # leave the points with Spark
+    frame, _ = frame_of(spark, np.random.default_rng(5).normal(size=(500, 2)))
     points = c.grid_points(frame, XY)
-    fits = [c.fit_all(points.repartition(n).persist(), [2, 4]) for n in (1, 4)]
+    fits = [c.fit_all(points.repartition(n).persist(), [2, 4]) for n in (1, 4, 8)]
     for k in (2, 4):
         assert len({f[k].points for f in fits}) == 1 and len({f[k].rounds for f in fits}) == 1
         assert len({round(f[k].inertia, 9) for f in fits}) == 1
-    trees = [c.fit_tree(points.repartition(n).persist(), 3) for n in (1, 4)]
+    trees = [c.fit_tree(points.repartition(n).persist(), 4) for n in (1, 4)]
     assert [leaf.centre for leaf in trees[0]] == [leaf.centre for leaf in trees[1]]
 
 
+def test_points_that_are_held_give_the_same_fit(spark, monkeypatch):
+    frame, _ = frame_of(spark, np.random.default_rng(8).normal(0, 3, (900, 2)))
+    points = c.grid_points(frame, XY).persist()
+    near = c.fit_all(points, [2, 5]), c.fit_tree(points, 4)
+    monkeypatch.setattr(c, "HELD_POINTS", 10)
+    assert isinstance(c.held(points), type(points))
+    far = c.fit_all(points, [2, 5]), c.fit_tree(points, 4)
+    for k in (2, 5):
+        assert (near[0][k].points, near[0][k].sizes, near[0][k].rounds) == (far[0][k].points, far[0][k].sizes, far[0][k].rounds)
+        assert near[0][k].inertia == pytest.approx(far[0][k].inertia, rel=1e-12)
+    assert [leaf.centre for leaf in near[1]] == [leaf.centre for leaf in far[1]]
+
+
 def test_rounds_have_a_told_limit(spark):
     frame, _ = frame_of(spark, np.random.default_rng(5).normal(size=(300, 2)))
     with pytest.raises(RuntimeError, match="still move after 1 rounds"):
