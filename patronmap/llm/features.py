@@ -54,6 +54,49 @@ def sparse(counts: np.ndarray) -> dict[str, bytes]:
     return {"at": at.astype("<u4").tobytes(), "n": counts[at].astype("<f4").tobytes()}
 
 
+class Sparse:
+    """A matrix of which the other entries are zero, to be multiplied from either side."""
+
+    def __init__(self, rows: list[np.ndarray], values: list[np.ndarray], size: int):
+        """Columns of every row, each once, and their values."""
+        counts = np.array([len(r) for r in rows], dtype=np.int64)
+        self.shape = len(rows), size
+        self.columns = np.concatenate([*rows, np.empty(0)]).astype(np.int32)
+        self.values = np.concatenate([*values, np.empty(0)]).astype(np.float32)
+        self.filled = np.flatnonzero(counts)  # reduceat has no empty ranges
+        self.starts = (np.cumsum(counts) - counts)[self.filled]
+        order = np.argsort(self.columns, kind="stable")
+        self.row_of = np.repeat(np.arange(len(rows), dtype=np.int32), counts)[order]
+        self.turned = self.values[order]
+        self.used, self.turned_starts = np.unique(self.columns[order], return_index=True)
+
+    def __matmul__(self, right: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape[0], *right.shape[1:]), np.float32)
+        if len(self.columns):
+            values = self.values.reshape(-1, *[1] * (right.ndim - 1))
+            out[self.filled] = np.add.reduceat(right[self.columns] * values, self.starts, axis=0)
+        return out
+
+    def turned_times(self, right: np.ndarray) -> np.ndarray:
+        """The product of the transposed matrix with `right`."""
+        out = np.zeros((self.shape[1], *right.shape[1:]), np.float32)
+        if len(self.columns):
+            values = self.turned.reshape(-1, *[1] * (right.ndim - 1))
+            out[self.used] = np.add.reduceat(right[self.row_of] * values, self.turned_starts, axis=0)
+        return out
+
+
+def _turned_times(x: np.ndarray | Sparse, right: np.ndarray) -> np.ndarray:
+    return x.turned_times(right) if isinstance(x, Sparse) else x.T @ right
+
+
+def sparse_roots(parts: list, size: int) -> Sparse:
+    """Rows made by `sparse` as square roots of shares, like those of `unit_roots`."""
+    rows = [np.frombuffer(p["at"], "<u4") for p in parts]
+    counts = [np.frombuffer(p["n"], "<f4") for p in parts]
+    return Sparse(rows, [np.sqrt(n / max(float(n.sum()), 1.0)) for n in counts], size)
+
+
 def dense(rows: list, size: int) -> np.ndarray:
     out = np.zeros((len(rows), size), dtype=np.float32)
     for i, row in enumerate(rows):
@@ -65,13 +108,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def fit_logistic(x: np.ndarray | Sparse, y: np.ndarray, l2: float = 1e-5, steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features x outputs) and intercepts of independent logistic regressions.
 
     Accelerated gradient steps on rows of at most unit length, whose loss has curvature of
     at most a quarter (and another for the intercept), so the step length needs no search.
     """
-    n, outputs = len(x), y.shape[1]
+    n, outputs = x.shape[0], y.shape[1]
     weights, intercepts = np.zeros((x.shape[1], outputs), np.float32), np.zeros(outputs, np.float32)
     old_w, old_b = weights, intercepts
     rate = np.float32(1.0 / (0.5 + l2))
@@ -80,7 +123,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-5, steps: int = 15
         ahead_w, ahead_b = weights + push * (weights - old_w), intercepts + push * (intercepts - old_b)
         error = (sigmoid(x @ ahead_w + ahead_b) - y).astype(np.float32) / n
         old_w, old_b = weights, intercepts
-        weights = ahead_w - rate * (x.T @ error + np.float32(l2) * ahead_w)
+        weights = ahead_w - rate * (_turned_times(x, error) + np.float32(l2) * ahead_w)
         intercepts = ahead_b - rate * error.sum(axis=0)
     return weights, intercepts
 

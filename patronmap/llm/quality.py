@@ -25,8 +25,8 @@ from patronmap.llm import features
 from patronmap.llm.common import fold, inputs, sample_by_hash, texts_of_sample, with_text_batches
 
 CHAR_ORDERS = (2, 3)
-CHAR_BITS = 12
-WORD_BITS = 11
+CHAR_BITS = 13
+WORD_BITS = 13
 SIZE = (1 << CHAR_BITS) + 2 * (1 << WORD_BITS)
 MOST_ROWS = 2500
 KEEP_ABOVE = 0.5  # probability of label 1
@@ -82,19 +82,22 @@ class QualityModel:
     a: float
     b: float
 
-    def probability(self, counts: np.ndarray) -> np.ndarray:
-        margins = features.unit_roots(counts) @ self.weights + self.intercept
-        return features.sigmoid(self.a * margins + self.b)
+    def probability(self, text: bytes) -> float:
+        counts = gram_counts(text)
+        at = np.flatnonzero(counts)
+        roots = np.sqrt(counts[at] / max(float(counts[at].sum()), 1.0))
+        margin = float(roots @ self.weights[at]) + self.intercept
+        return float(features.sigmoid(np.float64(self.a * margin + self.b)))
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, calibrates: np.ndarray) -> QualityModel:
-    """Margins from the rows that don't calibrate, probabilities from those that do."""
+def fit(parts: list, labels: np.ndarray, calibrates: np.ndarray) -> QualityModel:
+    """Margins from the rows that don't calibrate, probabilities from those that do; rows as `sparse` makes them."""
     known = labels[~calibrates]
     if len(set(known.tolist())) < 2 or not calibrates.any():
         return QualityModel(np.zeros(SIZE, np.float32), 0.0, 0.0, 40.0)
-    x = features.unit_roots(counts)
-    weights, intercepts = features.fit_logistic(x[~calibrates], known[:, None].astype(np.float32), l2=1e-6, steps=200)
-    margins = x[calibrates] @ weights[:, 0] + intercepts[0]
+    x, rest = (features.sparse_roots([p for p, c in zip(parts, calibrates) if c == side], SIZE) for side in (False, True))
+    weights, intercepts = features.fit_logistic(x, known[:, None].astype(np.float32), l2=1e-6, steps=200)
+    margins = (rest @ weights)[:, 0] + intercepts[0]
     a, b = features.fit_platt(margins.astype(np.float64), labels[calibrates])
     return QualityModel(weights[:, 0], float(intercepts[0]), max(a, 0.0), b)
 
@@ -117,7 +120,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Qu
     made.sort(key=lambda r: str(r["doc_id"]))
     labels_found = np.array([float(r["label"] > 0) for r in made])
     calibrates = np.array([bool(r["calibrates"]) for r in made], dtype=bool)
-    return fit(features.dense([r["part"] for r in made], SIZE), labels_found, calibrates)
+    return fit([r["part"] for r in made], labels_found, calibrates)
 
 
 def apply_rules(
@@ -135,11 +138,8 @@ def apply_rules(
 
     def work(texts, _):
         base = np.array([base_counts(t or b"") for t in texts], dtype=np.int64)
-        found = []
-        for start in range(0, len(texts), features.ROWS):
-            counts = np.stack([gram_counts(t or b"") for t in texts[start : start + features.ROWS]])
-            found.append(shared.value.probability(counts))
-        return {n: base[:, i] for i, n in enumerate(names)} | {"probability": np.concatenate(found).astype(np.float64)}
+        found = np.array([shared.value.probability(t or b"") for t in texts], dtype=np.float64)
+        return {n: base[:, i] for i, n in enumerate(names)} | {"probability": found}
 
     made = with_text_batches(rows, "text", ", ".join(f"{n} bigint" for n in names) + ", probability double", work)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
