@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable, Iterator
 
@@ -66,6 +67,24 @@ def own_names(df: DataFrame, n: int) -> list[str]:
     return found
 
 
+def scoped(name: str):
+    """Let a function of a frame store what it needs, and keep only its result, stored under `name`.
+
+    For functions whose results are small beside their inputs.
+    """
+    from patronmap.storage import scratch
+
+    def wrap(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(function)
+        def run(df: DataFrame, *args, **options) -> DataFrame:
+            with scratch(df.sparkSession) as scope:
+                return scope.keep(function(df, *args, **options), name)
+
+        return run
+
+    return wrap
+
+
 def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

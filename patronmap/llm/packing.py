@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronmap.llm.common import Batches, inputs, one_thread
+from patronmap.llm.common import Batches, inputs, one_thread, scoped
 from patronmap.storage import store
 
 CAPACITY = 2048
@@ -263,6 +263,7 @@ def plan_rounds(counts: dict[int, int], capacity: int) -> tuple[dict[int, list[P
 # Packing
 
 
+@scoped("packed")
 def pack(
     docs: DataFrame,
     tokenizer_path: str,

@@ -98,23 +98,24 @@ ORACLE: dict[str, str] = {
             SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
                    sha256(coalesce(html, '')) AS payload_digest
             FROM pages),
-        r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        r AS (SELECT *, first(page_id) OVER w AS head, row_number() OVER w AS place
+              FROM p WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id))
         SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+               CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND place > 1 THEN head END AS refers_to
         FROM r""",
     "op10_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
             FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
+            SELECT q.n, q.vec_id AS query_id, c.vec_id,
                    CAST(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            FROM v q JOIN v c ON q.n <> c.n
             WHERE q.vec_id % 20 = 0),
         r AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank
             FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op11_trie": r"""

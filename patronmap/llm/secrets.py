@@ -36,7 +36,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronmap.llm.common import inputs, is_fold, own_names, quoted, sample_by_hash, tokenizer_path, with_text_batches
+from patronmap.llm.common import inputs, is_fold, own_names, quoted, sample_by_hash, scoped, tokenizer_path, with_text_batches
 from patronmap.storage import store
 
 DICTIONARY = "word_bpe_49k.json"
@@ -45,9 +45,10 @@ LEAST_LENGTH = 12  # of a candidate that only has a digit
 LEAST_ASSIGNED = 6
 PER_LABEL = 1500
 TREES, DEPTH, SEED = 30, 8, 5
-LEAST_FINDINGS = 20
+LEAST_FINDINGS = 5  # of either label; a forest cannot tell fewer from chance
 IS_SECRET = 0.5
-NEIGHBOURS = 8  # buckets of either neighbouring word
+NEIGHBOURS = 32  # buckets of either neighbouring word
+BEFORE = 40  # characters before a candidate in which a listed name is noticed
 MARK = "<SECRET>"
 
 # Names of secrets, prefixes that providers publish, words of placeholders.
@@ -166,13 +167,18 @@ def rule_label(value: str, rule: str) -> int | None:
     return 0 if value.isdigit() else None
 
 
+@functools.lru_cache(maxsize=4)
+def longest_of(words: frozenset[str]) -> int:
+    return max(map(len, words), default=0)
+
+
 def coverage(value: str, words: frozenset[str]) -> float:
     """The share of characters in dictionary words, longest first from the left."""
-    covered = 0
+    covered, longest = 0, longest_of(words)
     for run in LETTERS.findall(value.lower()):
         at = 0
         while at <= len(run) - LEAST_LETTERS:
-            for end in range(min(len(run), at + 16), at + LEAST_LETTERS - 1, -1):
+            for end in range(min(len(run), at + longest), at + LEAST_LETTERS - 1, -1):
                 if run[at:end] in words:
                     covered += end - at
                     at = end
@@ -193,15 +199,28 @@ def _neighbour(word: str) -> list[float]:
     return out
 
 
-def describe(text: str, start: int, end: int, path: str | None, words: frozenset[str]) -> list[float]:
+def neighbours(text: str, runs: list[tuple[int, int]], start: int, end: int) -> tuple[str, str]:
+    """The nearest runs of letters before and behind a candidate, whole but for what the candidate takes."""
+    left = bisect.bisect_left(runs, start, key=lambda run: run[0]) - 1
+    right = bisect.bisect_right(runs, end, key=lambda run: run[1])
+    before = text[runs[left][0] : min(runs[left][1], start)] if left >= 0 else ""
+    after = text[max(runs[right][0], end) : runs[right][1]] if right < len(runs) else ""
+    return before.lower(), after.lower()
+
+
+def describe(
+    text: str, start: int, end: int, path: str | None, words: frozenset[str], runs: list[tuple[int, int]] | None = None
+) -> list[float]:
+    """Features of a candidate; `runs` are the spans of all runs of letters in the text, if known."""
+    runs = [m.span() for m in LETTERS.finditer(text)] if runs is None else runs
     value, n = text[start:end], end - start
     kinds = [_kind(c) for c in value]
     shares = [kinds.count(k) / len(kinds) for k in range(4)]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, len(kinds) - 1)
     letters = max((len(x) for x in LETTERS.findall(value)), default=0)
-    before, after = text[max(0, start - 40) : start], text[end : end + 40]
+    before = text[max(0, start - BEFORE) : start]
     bare = before.rstrip("\"' ")
-    left, right = LETTERS.findall(before.lower()), LETTERS.findall(after.lower())
+    left, right = neighbours(text, runs, start, end)
     where = (path or "").lower()
     return [
         float(n), math.log2(1 + n), changes, *shares,
@@ -212,7 +231,7 @@ def describe(text: str, start: int, end: int, path: str | None, words: frozenset
         float(bare.endswith((":", "="))), float(before.endswith(("\"", "'"))),
         float(any(name in before.lower() for name in NAMES)),
         float(any(x in where for x in ("test", "example", "doc", "fixture"))), where.count("/") * 1.0, float(len(where) > 0),
-        *_neighbour(left[-1] if left else ""), *_neighbour(right[0] if right else ""),
+        *_neighbour(left), *_neighbour(right),
     ]
 
 
@@ -225,10 +244,12 @@ def find(rows: DataFrame, dictionary_path: str) -> DataFrame:
         out = []
         for raw, path in zip(texts, batch.column("path").to_pylist()):
             text = (raw or b"").decode("utf-8", "replace")
+            found = candidates(text)
+            runs = [m.span() for m in LETTERS.finditer(text)] if found else []
             out.append(
                 [
-                    {"start": s, "length": e - s, "rule": r, "label": rule_label(text[s:e], r), "features": describe(text, s, e, path, words)}
-                    for s, e, r in candidates(text)
+                    {"start": s, "length": e - s, "rule": r, "label": rule_label(text[s:e], r), "features": describe(text, s, e, path, words, runs)}
+                    for s, e, r in found
                 ]
             )
         kind = pa.struct(
@@ -273,6 +294,7 @@ def classify(found: DataFrame, model) -> DataFrame:
     return scored.drop("features").withColumn("is_secret", F.col("score") >= IS_SECRET)
 
 
+@scoped("findings")
 def scan(
     docs: DataFrame,
     findings: DataFrame | None = None,

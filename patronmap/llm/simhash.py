@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronmap.llm.common import Batches, inputs, own_names, quoted, with_text_batches
+from patronmap.llm.common import Batches, inputs, own_names, quoted, scoped, with_text_batches
 from patronmap.operators.components import connected_components
 from patronmap.storage import store
 
@@ -206,6 +206,7 @@ def near_links(classes: DataFrame, max_distance: int = MAX_DISTANCE, tile: int =
     return both.select("a", "b", "fps_a", "fps_b").mapInArrow(compare, "src bigint, dst bigint")
 
 
+@scoped("components")
 def simhash_components(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronmap.llm.common import Batches, inputs, is_fold, with_text_batches
+from patronmap.llm.common import Batches, inputs, is_fold, scoped, with_text_batches
 from patronmap.storage import store
 
 DEPTH = 5
@@ -296,6 +296,7 @@ def rarer_logs(posted: DataFrame, rare: DataFrame, prior: float = PRIOR) -> Data
     return steps.groupBy("key").agg(F.log10(share).alias("log"))
 
 
+@scoped("scores")
 def score_documents(
     docs: DataFrame,
     folds: int = 10,

@@ -13,8 +13,9 @@ becomes a row, except the k best of a query in a shard. Scores are exact: matric
 multiplied as doubles where no sum can reach 2^53, as Python integers otherwise.
 
 Defined cases: a vector that is null, or has a null or non-finite component, or a null id,
-takes no part; vectors of different lengths are filled up with zeros; of rows with one id the
-smallest vector counts; ties go to the smaller id; fewer candidates than k give all of them;
+takes no part; vectors of different lengths are filled up with zeros; of rows with one id each is
+a candidate, and each a query if the id is one, whose own row alone is left out; ties go to the
+smaller id; fewer candidates than k give all of them;
 scores beyond 64 bits stop at the largest or smallest long; an empty table gives no rows.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronmap.llm.common import Batches, inputs
+from patronmap.llm.common import Batches, inputs, scoped
 from patronmap.storage import store
 
 SCALE = 64.0
@@ -41,17 +42,17 @@ def weights(vector: np.ndarray, scale: float = SCALE) -> np.ndarray:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector): one row per id, only finite vectors."""
+    """(vec_id, vector, number): only finite vectors; the number tells rows apart."""
     rows = inputs(df, vec_id=id_col, vector=vector_col)
     rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     whole = F.forall("vector", lambda x: F.coalesce(finite(x), F.lit(False)))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & whole)
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return rows.withColumn("number", F.monotonically_increasing_id())
 
 
 def _matrices(rows: DataFrame, size: int, scale: float, name: str, parts: int) -> DataFrame:
-    """Rows of at most `size` vectors: ids, weights as doubles, dim.
+    """Rows of at most `size` vectors: ids, numbers, weights as doubles, dim.
 
     Vectors are ordered by the places and signs of their strongest terms, so that vectors
     that point the same way share blocks.
@@ -60,10 +61,11 @@ def _matrices(rows: DataFrame, size: int, scale: float, name: str, parts: int) -
         F.transform("vector", lambda x, i: F.struct(F.abs(x).alias("a"), i.alias("i"), (x > 0).alias("up"))), asc=False
     )
     key = F.transform(F.slice(strongest, 1, 2), lambda x: F.struct(x["i"].alias("i"), x["up"].alias("up")))
-    ordered = rows.withColumn("key", key).repartitionByRange(parts, "key", "vec_id").sortWithinPartitions("key", "vec_id")
+    ordered = rows.withColumn("key", key).repartitionByRange(parts, "key", "vec_id", "number").sortWithinPartitions("key", "vec_id", "number")
 
     def run(batches: Batches) -> Batches:
         ids: list[int] = []
+        numbers: list[int] = []
         vectors: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
@@ -73,22 +75,23 @@ def _matrices(rows: DataFrame, size: int, scale: float, name: str, parts: int) -
                 matrix[i, : len(v)] = weights(v, scale)
             # The bytes are kept as rows of one text of doubles; most compress well.
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary()), pa.array([dim], pa.int32())],
-                names=["ids", "matrix", "dim"],
+                [*(pa.array([x], pa.list_(pa.int64())) for x in (ids, numbers)), pa.array([matrix.tobytes()], pa.binary()), pa.array([dim], pa.int32())],
+                names=["ids", "numbers", "matrix", "dim"],
             )
 
         for batch in batches:
-            for one, vector in zip(batch.column("vec_id").to_pylist(), batch.column("vector")):
+            for one, number, vector in zip(batch.column("vec_id").to_pylist(), batch.column("number").to_pylist(), batch.column("vector")):
                 ids.append(one)
+                numbers.append(number)
                 vectors.append(vector.values.to_numpy(zero_copy_only=False))
                 if len(ids) == size:
                     yield out()
-                    ids, vectors = [], []
+                    ids, numbers, vectors = [], [], []
         if ids:
             yield out()
 
-    made = ordered.select("vec_id", "vector").mapInArrow(run, "ids array<bigint>, matrix binary, dim int")
-    return store(made.withColumn("number", F.monotonically_increasing_id()), name)
+    made = ordered.select("vec_id", "number", "vector").mapInArrow(run, "ids array<bigint>, numbers array<bigint>, matrix binary, dim int")
+    return store(made.withColumn("at", F.monotonically_increasing_id()), name)
 
 
 def product(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -116,13 +119,16 @@ def _pad(matrix: np.ndarray, dim: int) -> np.ndarray:
     return matrix if matrix.shape[1] == dim else np.pad(matrix, ((0, 0), (0, dim - matrix.shape[1])))
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, block: int = BLOCK) -> list[tuple]:
-    """(query id, id, score) of the best in a shard, and how many blocks were scored: see the module."""
+def search(
+    queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, block: int = BLOCK
+) -> tuple[list[tuple], int]:
+    """(scores, ids) of the best in a shard per query, and how many blocks were scored: see the module."""
     dim = max(queries.shape[1], vectors.shape[1])
     queries, vectors = _pad(queries, dim), _pad(vectors, dim)
     starts = list(range(0, len(vectors), block))
     blocks = [vectors[s : s + block] for s in starts]
     block_ids = [ids[s : s + block] for s in starts]
+    block_rows = [rows[s : s + block] for s in starts]
     high = np.stack([b.max(axis=0) for b in blocks])
     low = np.stack([b.min(axis=0) for b in blocks])
     # Rounded outwards where doubles cannot hold the sums.
@@ -144,15 +150,16 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
             scores = product(queries[these], blocks[b])
             scored += len(these)
             for q, found in zip(these, scores):
-                others = block_ids[b] != query_ids[q]
+                others = block_rows[b] != query_rows[q]
                 s = np.concatenate([best[q][0], found[others]])
                 i = np.concatenate([best[q][1], block_ids[b][others]])
                 best[q] = _best(s, i, k)
                 if len(best[q][0]) == k:
                     floor[q] = best[q][0][-1]
-    return [(query_ids[q], *best[q]) for q in range(len(queries))], scored
+    return best, scored
 
 
+@scoped("nearest")
 def top_k(
     vectors: DataFrame,
     is_query,
@@ -170,13 +177,13 @@ def top_k(
     shards = _matrices(rows, shard, scale, "shards", max(1, -(-n // shard)))
     groups = _matrices(rows.where(is_query(F.col("vec_id"))), group, scale, "groups", max(1, -(-n_queries // group)))
     # Every group goes to every shard: matrices under a shard's number, in one array of numbers.
-    numbers = shards.agg(F.collect_list("number").alias("numbers"))
-    sent = groups.join(F.broadcast(numbers)).select(
-        F.col("ids").alias("query_ids"), F.col("matrix").alias("queries"), F.col("dim").alias("query_dim"),
-        F.col("number").alias("group_number"), F.explode("numbers").alias("number"),
+    places = shards.agg(F.collect_list("at").alias("places"))
+    sent = groups.join(F.broadcast(places)).select(
+        F.col("ids").alias("query_ids"), F.col("numbers").alias("query_rows"), F.col("matrix").alias("queries"),
+        F.col("dim").alias("query_dim"), F.col("at").alias("group"), F.explode("places").alias("at"),
     )
     tasks = max(1, -(-n // shard) * -(-n_queries // group))
-    both = sent.join(shards, "number").repartition(tasks, "number", "group_number")
+    both = sent.join(shards, "at").repartition(tasks, "at", "group")
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -184,20 +191,21 @@ def top_k(
                 at = {c: batch.column(c)[row] for c in batch.schema.names}
                 queries = np.frombuffer(at["queries"].as_buffer()).reshape(-1, at["query_dim"].as_py())
                 matrix = np.frombuffer(at["matrix"].as_buffer()).reshape(-1, at["dim"].as_py())
-                ids, query_ids = at["ids"].values.to_numpy(), at["query_ids"].values.to_numpy()
-                found, _ = search(queries, query_ids, matrix, ids, k, block)
-                counts = [len(s) for _, s, _ in found]
+                ids, rows, query_ids, query_rows = (at[c].values.to_numpy() for c in ("ids", "numbers", "query_ids", "query_rows"))
+                found, _ = search(queries, query_rows, matrix, ids, rows, k, block)
+                counts = [len(s) for s, _ in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(np.array([q for q, _, _ in found], np.int64), counts)),
-                        pa.array(np.concatenate([i for _, _, i in found])),
-                        pa.array(np.concatenate([s for _, s, _ in found])),
+                        pa.array(np.repeat(query_rows, counts)),
+                        pa.array(np.repeat(query_ids, counts)),
+                        pa.array(np.concatenate([i for _, i in found])),
+                        pa.array(np.concatenate([s for s, _ in found])),
                     ],
-                    names=["query_id", "vec_id", "score"],
+                    names=["query_row", "query_id", "vec_id", "score"],
                 )
 
-    found = both.select("query_ids", "queries", "query_dim", "ids", "matrix", "dim").mapInArrow(
-        run, "query_id bigint, vec_id bigint, score bigint"
+    found = both.select("query_ids", "query_rows", "queries", "query_dim", "ids", "numbers", "matrix", "dim").mapInArrow(
+        run, "query_row bigint, query_id bigint, vec_id bigint, score bigint"
     )
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

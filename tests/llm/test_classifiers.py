@@ -304,3 +304,14 @@ def test_repeated_rows_neither_fill_nor_change_a_sample(spark):
     assert rows(langid.training_rows(copies, 8)) == rows(langid.training_rows(single, 8)) and langid.training_rows(copies, 8).count() == 24
     given = [quality.labelled_texts(df, df.select("doc_id", "quality"), "quality", 10) for df in (single, copies)]
     assert rows(given[0]) == rows(given[1]) and given[1].count() == 10
+
+
+def test_neighbouring_words_and_dictionary_words_are_whole():
+    text = "alongwordthatgoesonandonandonfarbeyondforty = 12345678 " + "." * 90 + "Behind"
+    runs = [m.span() for m in secrets.LETTERS.finditer(text)]
+    start = text.index("1")
+    assert secrets.neighbours(text, runs, start, start + 8) == ("alongwordthatgoesonandonandonfarbeyondforty", "behind")
+    assert secrets.neighbours("abc12def", [(0, 3), (5, 8)], 1, 6) == ("a", "ef")
+    assert secrets.neighbours("12", [], 0, 2) == ("", "")
+    long = "incomprehensibilities"
+    assert secrets.coverage(long, frozenset([long])) == 1.0

@@ -143,3 +143,21 @@ def test_parts_of_a_long_document_are_cut_in_linear_time(spark):
 
     seconds(100)
     assert seconds(80_000) < 3 * seconds(20_000) + 5
+
+
+def test_operators_leave_only_their_results(spark):
+    import os
+
+    from patronmap.llm import packing, suffixtree, topk
+    from patronmap.storage import shared_folder
+
+    docs = spark.createDataFrame([(i, f"some words of text number {i} password=ab12cd34ef56ab7{i % 10}", "s") for i in range(30)], "doc_id bigint, text string, source string")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id bigint, embedding array<float>")
+    folder = os.path.join(shared_folder(spark).removeprefix("file:"), "patronmap", spark.sparkContext.applicationId)
+    for work in (
+        lambda: simhash.simhash_components(docs), lambda: packing.pack(docs, tokenizer_path("word_bpe_49k.json")),
+        lambda: topk.top_k(vectors, lambda i: i % 20 == 0), lambda: suffixtree.score_documents(docs), lambda: secrets.scan(docs),
+    ):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        work().collect()
+        assert len(set(os.listdir(folder)) - before) == 1
