@@ -315,3 +315,86 @@ def test_neighbouring_words_and_dictionary_words_are_whole():
     assert secrets.neighbours("12", [], 0, 2) == ("", "")
     long = "incomprehensibilities"
     assert secrets.coverage(long, frozenset([long])) == 1.0
+
+
+# Against plain versions
+
+
+def test_sparse_products_equal_dense_ones():
+    draw = np.random.default_rng(4)
+    full = draw.random((30, 50)) * (draw.random((30, 50)) < 0.2)
+    full[[0, 7]] = 0
+    full[:, [3, 49]] = 0
+    made = features.Sparse([np.flatnonzero(r) for r in full], [r[r != 0] for r in full], 50)
+    for right, left in ((draw.random(50), draw.random(30)), (draw.random((50, 3)), draw.random((30, 3)))):
+        assert np.allclose(made @ right, full @ right, atol=1e-4)
+        assert np.allclose(made.turned_times(left), full.T @ left, atol=1e-4)
+    none = features.Sparse([], [], 5)
+    assert (none @ np.ones(5)).shape == (0,) and none.turned_times(np.ones(0)).tolist() == [0.0] * 5
+    y = (full[:, 0] > 0).astype(np.float32)[:, None]
+    for a, b in zip(features.fit_logistic(made, y), features.fit_logistic(full.astype(np.float32), y)):
+        assert np.allclose(a, b, atol=1e-4)
+
+
+def test_a_machine_scores_every_pair():
+    draw = np.random.default_rng(5)
+    w, v = draw.standard_normal(12), draw.standard_normal((12, 3))
+    machine = toxicity.FactorizationMachine(np.arange(12), 0.25, w, v)
+    for n in range(12):
+        rows = draw.choice(12, n, replace=False)
+        pairs = sum(float(v[a] @ v[b]) for i, a in enumerate(rows) for b in rows[:i])
+        assert machine.margin(rows) == pytest.approx(0.25 + w[rows].sum() + pairs)
+
+
+def test_a_quality_probability_is_that_of_counted_grams():
+    draw = np.random.default_rng(6)
+    model = quality.QualityModel(draw.standard_normal(quality.SIZE), 0.1, 1.7, -0.2)
+    for text in ("", "one", "some words and some words again ü 漢字 " * 20):
+        raw, counts = text.encode(), {}
+        points = [ord(c) for c in text]
+        for order in quality.CHAR_ORDERS:
+            for i in range(len(points) - order + 1):
+                gram = "".join(map(chr, points[i : i + order]))
+                at = int(next(iter(features.char_gram_buckets(gram, (order,), quality.CHAR_BITS)))[0])
+                counts[at] = counts.get(at, 0) + 1
+        words = raw.split()
+        for start, some in ((1 << quality.CHAR_BITS, words), ((1 << quality.CHAR_BITS) + (1 << quality.WORD_BITS), [b" ".join(p) for p in zip(words, words[1:])])):
+            for word in some:
+                at = start + zlib.crc32(word) % (1 << quality.WORD_BITS)
+                counts[at] = counts.get(at, 0) + 1
+        total = sum(counts.values())
+        margin = 0.1 + sum((n / total) ** 0.5 * model.weights[at] for at, n in counts.items())
+        assert model.probability(raw) == pytest.approx(1 / (1 + np.exp(-(1.7 * margin - 0.2))), rel=1e-4)
+
+
+def test_a_language_is_that_of_the_nearest_codeword():
+    texts = {"en": "the and of with this that is on at", "de": "der die das und nicht ein zu mit auf", "fr": "le la les des une est dans que pour", "es": "el los las una por con para que es"}
+    draw = random.Random(7)
+    made = [(lang, " ".join(draw.choices(words.split(), k=30))) for lang, words in texts.items() for _ in range(30)]
+    model = langid.fit(np.stack([langid.gram_counts(t) for _, t in made]), [g for g, _ in made])
+    for lang, text in made:
+        counts = langid.gram_counts(text)
+        shares = np.sqrt(counts / counts.sum())
+        margins = [float(shares @ model.weights[:, b] + model.intercepts[b]) for b in range(model.code.shape[1])]
+        losses = [sum(w * np.log1p(np.exp(-bit * m)) for w, bit, m in zip(model.bit_weights, word, margins)) for word in model.code]
+        weights = [np.exp(-x) for x in losses]
+        found = model.scores(counts[None].copy())[0]
+        assert found == pytest.approx([x / sum(weights) for x in weights], rel=1e-3)
+        assert model.languages[int(found.argmax())] == lang
+
+
+def test_candidates_equal_those_of_a_plain_scanner():
+    """Without names, keys of providers and key blocks: runs with a digit, stripped, of some length."""
+    draw = random.Random(8)
+    for _ in range(300):
+        text = "".join(draw.choice("ab1 2\n\t.\"(),x9é") for _ in range(draw.randrange(120)))
+        expected, start = [], 0
+        for i, c in enumerate(text + " "):
+            if c.isspace():
+                part = text[start:i]
+                begin = start + len(part) - len(part.lstrip(secrets.EDGES))
+                part = part.strip(secrets.EDGES)
+                if len(part) >= secrets.LEAST_LENGTH and any(x.isdigit() for x in part):
+                    expected.append((begin, begin + len(part), "run"))
+                start = i + 1
+        assert secrets.candidates(text) == expected
