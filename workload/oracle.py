@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload.queries import CHOSEN_SEGMENT, EPS, EPS_SIX, K, METRIC_CENTRES, MIN_SAMPLES, RANGE, RULES
+from workload.queries import CHOSEN_SEGMENT, EPS, EPS_SIX, K, LINK_HEIGHT, METRIC_CENTRES, MIN_SAMPLES, RANGE, RULES
 from workload.queries import SCORE_CENTRES, WEIGHTS
 from workload.tables import SNAPSHOT
 
@@ -230,12 +230,12 @@ SELECT '{metric}' AS metric, round(avg(CASE WHEN n_own = 1 OR greatest(inside, o
 FROM sided"""
 
 
-def dbscan_sql(scaled: str, d: int, eps: float) -> str:
+def dbscan_sql(scaled: str, d: int, eps: float, least: int = MIN_SAMPLES) -> str:
     gap = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(d))
     return f"""WITH RECURSIVE {scaled}, near AS MATERIALIZED (
   SELECT a.customer_id AS a, b.customer_id AS b FROM scaled a JOIN scaled b
   ON {gap} <= {_double(eps * eps)}), core AS MATERIALIZED (
-  SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {MIN_SAMPLES}), links AS MATERIALIZED (
+  SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {least}), links AS MATERIALIZED (
   SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 reached(root, id) AS (
   SELECT id, id FROM core
@@ -561,6 +561,7 @@ SELECT CAST(customer_id AS VARCHAR) AS customer_id, CAST("cluster" AS VARCHAR) A
   CAST(CAST(monetary AS BIGINT) AS VARCHAR) AS monetary
 FROM seg LEFT JOIN rfm USING (customer_id) WHERE "Segment_label" = '{CHOSEN_SEGMENT}'""",
     "dbscan": dbscan_sql(SCALED, 3, EPS),
+    "hierarchical_single": dbscan_sql(SCALED, 3, LINK_HEIGHT, 1),
     "dbscan_six": dbscan_sql(SCALED_SIX, 6, EPS_SIX),
     "silhouette": _silhouette(
         f"""{SCORES}, points AS (SELECT customer_id AS id, "R_score" AS r, "F_score" AS f,

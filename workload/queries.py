@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patronmap.operators import cleaning, clustering, date_formats, growth, report, rfm, segments, sketches, trends
+from patronmap.operators import cleaning, clustering, date_formats, growth, linkage, report, rfm, segments, sketches, trends
 from patronmap.operators.features import prepare_features
 from patronmap.operators.silhouette import EUCLIDEAN, SQUARED_EUCLIDEAN, silhouette
 from patronmap.operators.rfm_state import RfmState
@@ -32,6 +32,7 @@ CHOSEN_SEGMENT = "BUILDING"
 K = 4
 EPS = 0.3
 EPS_SIX = 0.8
+LINK_HEIGHT = 0.15
 MIN_SAMPLES = 5
 
 
@@ -458,6 +459,13 @@ def dbscan_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(CUSTOMER, CLUSTER)
 
 
+def hierarchical_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact single linkage of all customers, cut at a height."""
+    scaled = clustering.scaled_table(_metrics(spark, sf_dir), RFM_METRICS)
+    merges = linkage.single_linkage(scaled, RFM_METRICS)
+    return linkage.cut(scaled, merges, RFM_METRICS, LINK_HEIGHT).select(CUSTOMER, CLUSTER)
+
+
 def dbscan_six(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clustering along metrics and scores, beyond the axes of a block lookup."""
     found = segment(_scores(spark, sf_dir), DBSCAN, (*RFM_METRICS, *SCORES), eps=EPS_SIX, min_samples=MIN_SAMPLES)
@@ -593,6 +601,7 @@ QUERIES = {
     "hierarchical": hierarchical,
     "dbscan": dbscan_segments,
     "dbscan_six": dbscan_six,
+    "hierarchical_single": hierarchical_single,
     "silhouette": silhouette_euclidean,
     "silhouette_blocks": silhouette_blocks,
     "silhouette_squared": silhouette_squared,
