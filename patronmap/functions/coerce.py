@@ -33,7 +33,8 @@ def as_timestamp(column: Column, dtype: T.DataType, formats: Sequence[str] = ())
     moment = _moment(column, dtype, formats)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return moment
-    return F.when(in_range(moment), moment)
+    # Bound once: a text would otherwise be parsed for every comparison.
+    return F.transform(F.array(moment), lambda m: F.when(in_range(m), m))[0]
 
 
 def in_range(moment: Column) -> Column:

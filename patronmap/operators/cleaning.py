@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patronmap.functions.coerce import as_number, as_timestamp, in_range, is_known, is_not_blank
 from patronmap.schema import AMOUNT, CUSTOMER, DATE
@@ -28,7 +29,9 @@ def clean_light(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
     Negative amounts and blank customers stay: trends and reports see returns too. Dates that
     do not fit into 64-bit nanoseconds are missing, whatever the column's type.
     """
-    return drop_missing(coerce(df, formats), CUSTOMER, DATE, AMOUNT).where(in_range(F.col(DATE)))
+    kept = drop_missing(coerce(df, formats), CUSTOMER, DATE, AMOUNT)
+    dates = isinstance(df.schema[DATE].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    return kept.where(in_range(F.col(DATE))) if dates else kept
 
 
 def drop_missing(df: DataFrame, *columns: str) -> DataFrame:
