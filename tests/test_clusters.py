@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 import numpy as np
@@ -353,3 +354,34 @@ def test_components_of_a_long_path(spark):
     assert {labels[int(i)] for i in ids[:200]} == {int(ids[:200].min())}
     assert {labels[int(i)] for i in ids[200:299]} == {int(ids[200:299].min())}
     assert labels[int(ids[299])] == ids[299]
+
+
+@pytest.mark.parametrize("block, pairs", [(7, 20), (64, 10_000), (4096, 300)])
+def test_sums_of_tiles_equal_all_pairs(monkeypatch, block, pairs):
+    monkeypatch.setattr(sil, "CHUNK_PAIRS", pairs)
+    draw = np.random.default_rng(2)
+    a, b, m, n = draw.normal(size=(90, 3)), draw.normal(size=(33, 3)), draw.random((90, 4)), draw.random((33, 4))
+    far = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    found = sil._sums_of_tiles([a, b], [m, n], block)
+    assert np.allclose(found[0], far @ n) and np.allclose(found[1], far.T @ m)
+    here = np.sqrt(((a[:, None, :] - a[None, :, :]) ** 2).sum(axis=2))
+    assert np.allclose(sil._sums_of_tiles([a], [m], block)[0], here @ m)
+
+
+def test_small_blocks_take_few_tasks(spark, monkeypatch):
+    """Several tiles of many blocks: a task per pair of tiles, and the same value."""
+    draw = np.random.default_rng(4)
+    points, labels = draw.normal(size=(400, 2)), draw.integers(0, 3, 400)
+    pdf = pd.DataFrame(points, columns=list(XY)).assign(cluster=labels)
+    tasks, means = [], sil._means
+
+    def seen(found, n):
+        plan = found._jdf.queryExecution().toString()
+        tasks.extend(int(n) for n in re.findall(r"(\d+)\), REPARTITION_BY_NUM", plan))
+        return means(found, n)
+
+    monkeypatch.setattr(sil, "_means", seen)
+    monkeypatch.setattr(sil, "TILE_POINTS", 40)
+    value = sil.silhouette(spark.createDataFrame(pdf), XY, block_points=4)
+    assert abs(value - brute_silhouette(points, labels)) < 1e-9
+    assert tasks and max(tasks) <= 100  # a hundred blocks have 10,000 pairs
