@@ -6,6 +6,7 @@ import csv
 import io
 import random
 
+import pyarrow as pa
 import pytest
 
 from patronmap.sources import delimited, mapping, quoted
@@ -114,3 +115,42 @@ def test_the_state_of_lines():
         (b'a"b,c', False, False), (b'a,"b"c"d,e', False, False), (b'x","y', True, True), (b'","', False, True), (b"", False, True),
     ]:
         assert (quoted.line_state(line, b",", False), quoted.line_state(line, b",", True)) == (outside, inside), line
+
+
+def test_lines_of_a_batch_together_equal_one_by_one():
+    """The effects, states and records of random lines, in batches of several sizes."""
+    draw = random.Random(8)
+    for _ in range(60):
+        lines = ["".join(draw.choices(["a", "é\U0001f600", ";", '"', '""', " ", "\t"], k=draw.randrange(7))) + draw.choice(["", "", "\r"]) for _ in range(80)]
+        outside, inside, _ = quoted._effects(b";")(pa.array(lines))
+        for start in (False, True):
+            state, states = start, []
+            for line in lines:
+                state = quoted.line_state(line.removesuffix("\r").encode(), b";", state)
+                states.append(state)
+            assert quoted._states(outside, inside, start).tolist() == states
+            batches = [pa.RecordBatch.from_pydict({"file": ["f"] * len(p), "block": [0] * len(p), "inside": [start] * len(p), "value": p})
+                       for p in (lines[:1], lines[1:30], lines[30:31], lines[31:])]
+            found = pa.Table.from_batches(list(quoted._records(b";")(iter(batches)))).to_pylist()
+            records, parts, state = [], "", start
+            for line, after in zip(lines, states):
+                if after:
+                    parts += line + "\n"
+                else:
+                    records.append(parts + line.removesuffix("\r"))
+                    parts = ""
+            assert found[-1]["lines"] == 80 and found[-1]["kind"] is None
+            pending = [parts] if parts else []
+            carried = records[:1] if start else []
+            expected = carried + [r for r in records[len(carried):] if r.strip("".join(map(chr, range(33))))] + pending
+            assert [r["text"] for r in found[:-1]] == expected
+
+
+def test_alike_lines_are_worked_out_once(monkeypatch):
+    calls, state = [], quoted.line_state
+    monkeypatch.setattr(quoted, "line_state", lambda *given: calls.append(1) or state(*given))
+    lines = [f'"order ""{i}"";' if i % 2 else f'line, {i}";2024-01-0{i % 9};{i}' for i in range(5000)]
+    batch = pa.RecordBatch.from_pydict({"file": ["f"] * 5000, "block": [0] * 5000, "inside": [False] * 5000, "value": lines})
+    list(quoted._records(b";")(iter([batch])))
+    list(quoted._summaries(b";")(iter([batch.select(["file", "block", "value"]).rename_columns(["file", "block", "marked"])])))
+    assert len(calls) < 50
