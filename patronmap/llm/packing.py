@@ -28,11 +28,13 @@ from __future__ import annotations
 import bisect
 import functools
 import re
+import string
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,10 @@ KNOWN_WORDS = 150_000  # words whose ids a worker keeps, twice
 LINE_WORDS, LINES = 500, 10  # new words to a line, and lines, that are tokenized together
 BUCKET_ROWS = 500  # pieces of one length that are ranked together, on average
 TEXT_BYTES = 1 << 21  # of texts that are tokenized together, or one longer text
-# A word and signs after it that the tokenizer cuts off: after ASCII letters and those of C3.
 LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # letters with one lower-case form
-TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:]+)", re.DOTALL)
+# Signs after a word that the tokenizer cuts off: after ASCII letters and those of C3.
+SIGNS = string.punctuation.encode()
+LETTER = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
 
 
 # Tokens
@@ -56,7 +59,7 @@ TAIL = re.compile(rb"(.*(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,!?;:]+)"
 class WordIds:
     """Ids of texts by a tokenizer of words, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and cuts between letters and the signs in `TAIL`, so a
+    The tokenizer drops white space and cuts between letters and the signs after them, so a
     text is cut there first, and a word met before keeps its ids. Words are kept in two
     generations of about `known_words`: once the newer is full it becomes the older, and words
     found there go into the newer again, so frequent ones stay.
@@ -79,16 +82,25 @@ class WordIds:
         self.older: dict[bytes, bytes] = {}
         self.limit = known_words
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Keep the ids of new words."""
         known, older = self.known, self.older
-        fresh = words.difference(older)
-        known.update((w, older[w]) for w in words - fresh)
-        cut = {w: m.groups() for w in fresh if not w.isalpha() and (m := TAIL.fullmatch(w))}
-        fresh.difference_update(cut)
-        fresh.update(*cut.values())
+        cut, fresh = [], set()
+        for word in words:
+            core = word.rstrip(SIGNS)
+            if len(core) < len(word) and (core[-1:].islower() or LETTER.search(core)):  # islower: ASCII
+                tail = word[len(core) :]
+                cut.append((word, core, tail))
+                fresh.add(core)
+                fresh.add(tail)
+            else:
+                fresh.add(word)
+        fresh.difference_update(known)
+        found = [(w, ids) for w in fresh if (ids := older.get(w)) is not None]
+        known.update(found)
+        fresh.difference_update([w for w, _ in found])
         latin = [w for w in fresh if w.isalpha() or LATIN.fullmatch(w)]  # isalpha: ASCII letters
-        others = list(fresh.difference(latin, known))
+        others = list(fresh.difference(latin))
         for start in range(0, len(latin), LINES * LINE_WORDS):
             some = latin[start : start + LINES * LINE_WORDS]
             lines = [some[s : s + LINE_WORDS] for s in range(0, len(some), LINE_WORDS)]
@@ -102,18 +114,26 @@ class WordIds:
             some = others[start : start + LINES * LINE_WORDS]
             for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
                 known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        for word, (core, tail) in cut.items():
-            known[word] = known[core] + known[tail]
+        known.update([(word, known[core] + known[tail]) for word, core, tail in cut])
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of a few texts; the words that are new in them are tokenized together."""
         if len(self.known) >= self.limit:
             self.known, self.older = {}, self.known
-        words = [t.lower().split() for t in texts]
-        if new := set().union(*words).difference(self.known):
-            self._learn(new)
-        ids_of = self.known.__getitem__
-        return [b"".join(map(ids_of, some)) if b"<|" not in text else self._whole(text) for some, text in zip(words, texts)]
+        lowered = pc.ascii_lower(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        split = pc.ascii_split_whitespace(lowered)  # at the white space that bytes.split() cuts at
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.known.get, words))
+        if new := [i for i, ids in enumerate(known) if ids is None]:
+            self._learn([words[i] for i in new])
+            for i in new:
+                known[i] = self.known[words[i]]
+        ids = pa.array(known, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset) if len(ids) else np.zeros(1, np.int64)
+        ends = ends[split.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) if b"<|" not in text else self._whole(text) for text, a, b in zip(texts, ends, ends[1:])]
 
     def _whole(self, text: bytes) -> bytes:
         """Of a text that may name special tokens, which are found before letters are lowered."""

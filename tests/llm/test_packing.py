@@ -98,3 +98,38 @@ def test_round_trip(spark, words):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokenizer_path(PATH)).collect() == []
+
+
+class Recorder:
+    """A tokenizer that notes the words it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += [word for text in texts for word in text.split()]
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def test_only_words_never_met_are_tokenized():
+    found = packing.WordIds(tokenizer_path(PATH))
+    whole = found.tokenizer
+    found.tokenizer, found.splitter = Recorder(found.tokenizer), Recorder(found.splitter)
+    found.of([b"the lyon \xc3\x89t\xc3\xa9 , $$$"])
+    text = "The, LYON$$$ Été$$$ the$$$ lyon, new, the"
+    for recorder in (found.tokenizer, found.splitter):
+        recorder.given.clear()
+    ids = np.frombuffer(found.of([text.encode()])[0], "<u4").tolist()
+    assert found.tokenizer.given + found.splitter.given == ["new"]
+    assert ids == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_words_with_any_signs_are_the_tokenizers():
+    draw = random.Random(5)
+    parts = ["a", "It", "É", "ß", "é", "≠", "7", "日", "'s", "'ll", " ", "\n", "\t ", "\x1c", "\x00", *"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
+    found = packing.WordIds(tokenizer_path(PATH), known_words=500)
+    for _ in range(20):
+        texts = ["".join(draw.choices(parts, k=draw.randint(0, 60))) for _ in range(20)]
+        ids = [np.frombuffer(i, "<u4").tolist() for i in found.of([t.encode() for t in texts])]
+        assert ids == [found.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert found.of([]) == []
