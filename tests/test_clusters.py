@@ -385,3 +385,39 @@ def test_small_blocks_take_few_tasks(spark, monkeypatch):
     value = sil.silhouette(spark.createDataFrame(pdf), XY, block_points=4)
     assert abs(value - brute_silhouette(points, labels)) < 1e-9
     assert tasks and max(tasks) <= 100  # a hundred blocks have 10,000 pairs
+
+
+def test_blocks_apart_and_near_give_distances_to_the_last_places(monkeypatch):
+    """Also far from the origin, where a product of uncentred points would lose them."""
+    draw, ways, products = np.random.default_rng(8), [], sil._products
+
+    def seen(*given):
+        ways.append(products(*given))
+        return ways[-1]
+
+    monkeypatch.setattr(sil, "_products", seen)
+    a, b = (np.concatenate([draw.normal((1e6, -1e6, c), 1.0, (200, 3)) for c in (0.0, 3.0, 40.0)]) for _ in range(2))
+    m, n = (np.eye(3)[draw.integers(0, 3, 600)] * draw.integers(1, 9, 600)[:, None] for _ in range(2))
+    wide = [x.astype(np.longdouble) for x in (a, b)]
+    far = np.sqrt(((wide[0][:, None, :] - wide[1][None, :, :]) ** 2).sum(axis=2))
+    found = sil._sums_of_tiles([a, b], [m, n], 32)
+    assert np.allclose(found[0], far @ n, rtol=1e-14, atol=0) and np.allclose(found[1], far.T @ m, rtol=1e-14, atol=0)
+    apart = np.concatenate([way[1] for way in ways])
+    assert apart.any() and not apart.all()
+
+
+def test_pairs_of_large_tiles_have_partitions_of_their_own(spark, monkeypatch):
+    """Two pairs by chance in one partition would follow each other, and small tiles send each point too often."""
+    assert sil._n_tiles(5_400_000, 3, 256) <= 50
+    draw, plans, means = np.random.default_rng(6), [], sil._means
+
+    def seen(found, n):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return means(found, n)
+
+    monkeypatch.setattr(sil, "_means", seen)
+    monkeypatch.setattr(sil, "TILE_POINTS", 30)
+    points, labels = draw.normal(size=(120, 2)), draw.integers(0, 3, 120)
+    pdf = pd.DataFrame(points, columns=list(XY)).assign(cluster=labels)
+    assert abs(sil.silhouette(spark.createDataFrame(pdf), XY, block_points=40) - brute_silhouette(points, labels)) < 1e-12
+    assert re.search(r"direct_shuffle_partition_id\(part#\d+\), 10\), REPARTITION_BY_NUM", plans[-1])
